@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html, licenses, mixing, quality, tokens, urls
+from . import decontam, html, jaccard, licenses, lines, mixing, quality, tokens, urls
 from .spark import table
 
 
@@ -25,6 +25,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed"), F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept_lines"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urls.judge(urls.captured(table(spark, sf_dir, "pages")), urls.example_entries(spark))
     return found.select("page_id", "url", "fetched_at", "host", "lists", "blocked")
@@ -44,12 +49,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "class_id", "n_links", "stays")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(table(spark, sf_dir, "documents"), model_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_source_mix, op5_url_filter, op6_decontamination, op7_quality_rules, op8_html_extraction, op10_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_line_dedup, op5_url_filter, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_ngram_jaccard, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
-from .spark import cut
+from .spark import cut, without
 
 #: Bytes of text in a segment of the index, and words of test items that are searched for at once.
 SEGMENT_BYTES, BLOCK_WORDS = 4 << 20, 1 << 20
@@ -185,3 +185,9 @@ def judge(docs: DataFrame, items: DataFrame, *, size: int = WINDOW) -> DataFrame
         "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep(docs: DataFrame, items: DataFrame, *, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    gone = judge(docs, items, size=size).filter("contaminated")
+    return without(docs, gone, doc_id=F.col("doc_id").cast("long"), key=F.xxhash64("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .spark import cut, small
+from .spark import cut, small, without
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of rows: documents with a similarity of 0.8 share no band once in 350,000 times.
@@ -211,3 +211,15 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     named = rows.join(least, "root")
     stays = named.filter("doc_id <=> class_id").groupBy("root").agg(F.min("row").alias("first"))
     return named.join(stays, "root").select("doc_id", "key", "row", "n_words", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("row") == F.col("first")).alias("stays"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay in :func:`classes`, one of each class, with all their columns.
+
+    Rows with one id and one text are alike; of them one is kept.
+    """
+    judged = cut(classes(docs))
+    names = ["doc_id", "key"]
+    per = cut(judged.groupBy(*names).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
+    one = without(docs, per.filter("NOT stays"), doc_id=F.col("doc_id").cast("long"), key=F.xxhash64("text"))
+    return one.dropDuplicates(["doc_id", "text"]) if per.filter("n > 1").limit(1).count() else one

@@ -175,3 +175,36 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     n_lines = texts.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
+
+
+def apply(docs: DataFrame, judged: DataFrame, length: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the texts that :func:`judge` leaves; a column ``length`` gets the new number of characters.
+
+    Lines without a word stay where they are. A document that loses all its words is dropped.
+    """
+    losing = cut(judged.filter(F.size("kept") < F.col("n_lines")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__key"]))
+    rows = docs.join(small(losing, 10_000), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key")), "left")
+    rows = rows.drop("__id", "__key")
+    count = length if length in docs.columns else None
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            texts, stay = [], []
+            for text, kept in zip(batch.column("text").to_pylist(), batch.column("__kept").to_pylist(), strict=True):
+                if kept is not None:
+                    numbers = set(kept)
+                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k in numbers or not x.encode().split())
+                texts.append(text)
+                stay.append(kept is None or len(kept) > 0)
+            out = []
+            for field in docs.schema.fields:
+                column = batch.column(field.name)
+                if field.name == "text":
+                    column = pa.array(texts, column.type)
+                elif field.name == count:
+                    sizes = [None if t is None else len(t) for t in texts]
+                    column = pa.array([old if k is None else n for old, n, k in zip(column.to_pylist(), sizes, batch.column("__kept").to_pylist(), strict=True)], column.type)
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, names=docs.columns).filter(pa.array(stay))
+
+    return rows.mapInArrow(cleaned, docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .spark import cut, small
+from .spark import cut, small, without
 
 #: A line is above its host's limit if more documents than both hold it.
 MIN_DOCS, MAX_SHARE = 100, 0.2
@@ -120,6 +120,6 @@ def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     What fails by itself is dropped where it is read; only documents that shared lines deplete are
     looked up, by id, host and text hash.
     """
-    gone = cut(judge(docs, host).filter("NOT kept AND NOT base_failed").select(F.col("doc_id").alias("g1"), F.col("host").alias("g2"), F.col("content").alias("g3")).distinct())
+    gone = judge(docs, host).filter("NOT kept AND NOT base_failed")
     fine = docs.mapInArrow(_passing, docs.schema)
-    return fine.join(small(gone), F.col("doc_id").eqNullSafe(F.col("g1")) & F.col(host).eqNullSafe(F.col("g2")) & F.xxhash64("text").eqNullSafe(F.col("g3")), "left_anti")
+    return without(fine, gone, doc_id=F.col("doc_id").cast("long"), host=F.col(host).cast("string"), content=F.xxhash64("text"))

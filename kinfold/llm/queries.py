@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html, jaccard, licenses, lines, mixing, quality, tokens, urls
+from . import decontam, html, jaccard, licenses, lines, mixing, quality, substrings, tokens, urls
 from .spark import table
 
 
@@ -21,6 +21,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("sentences", ",").alias("sentences"), "licence")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_line_dedup, op5_url_filter, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_ngram_jaccard, op10_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_source_mix, op4_line_dedup, op5_url_filter, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_ngram_jaccard, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Largest table, in rows of a few dozen bytes, that an operator broadcasts.
 BROADCAST_ROWS = 50_000
@@ -33,3 +33,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, gone: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` less the rows whose ``columns`` equal those of that name in ``gone``, nulls included.
+
+    ``gone`` is materialised, and broadcast if it is small; the columns of ``docs`` may have any names.
+    """
+    keys = cut(gone.select([F.col(c).alias(f"__gone_{c}") for c in columns]).distinct())
+    same = [value.eqNullSafe(F.col(f"__gone_{c}")) for c, value in columns.items()]
+    return docs.join(small(keys), same, "left_anti")

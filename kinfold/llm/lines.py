@@ -185,7 +185,7 @@ def apply(docs: DataFrame, judged: DataFrame, length: str | None = "n_chars") ->
     losing = cut(judged.filter(F.size("kept") < F.col("n_lines")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__key"]))
     rows = docs.join(small(losing, 10_000), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key")), "left")
     rows = rows.drop("__id", "__key")
-    count = length if length in docs.columns else None
+    names, schema, count = docs.columns, docs.schema, length if length in docs.columns else None
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -197,14 +197,14 @@ def apply(docs: DataFrame, judged: DataFrame, length: str | None = "n_chars") ->
                 texts.append(text)
                 stay.append(kept is None or len(kept) > 0)
             out = []
-            for field in docs.schema.fields:
-                column = batch.column(field.name)
-                if field.name == "text":
+            for name in names:
+                column = batch.column(name)
+                if name == "text":
                     column = pa.array(texts, column.type)
-                elif field.name == count:
+                elif name == count:
                     sizes = [None if t is None else len(t) for t in texts]
                     column = pa.array([old if k is None else n for old, n, k in zip(column.to_pylist(), sizes, batch.column("__kept").to_pylist(), strict=True)], column.type)
                 out.append(column)
-            yield pa.RecordBatch.from_arrays(out, names=docs.columns).filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(stay))
 
-    return rows.mapInArrow(cleaned, docs.schema)
+    return rows.mapInArrow(cleaned, schema)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .fmindex import Index
@@ -18,6 +18,8 @@ from .spark import cut, small
 WINDOW, GRAM = 50, 8
 #: Pieces of text in a shard, and of one anchor beyond which its pieces are trimmed first.
 SHARD, CROWD = 8_000, 500
+#: Documents with shared anchors (a few hundred bytes each) that are looked up by broadcast at most.
+LOOKED_UP = 100_000
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +55,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.cumsum([0, *map(len, held)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).view(np.int64)))
         d1, d2 = digests(found)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), lists], names=["doc_id", "key", "n_words", "d1", "d2", "anchors"])
+        sums = pa.array([hashlib.sha256(b" ".join((t or "").encode().split())).digest() for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), sums, lists], names=["doc_id", "key", "n_words", "d1", "d2", "sha256", "anchors"])
 
 
 _PIECE = "anchor long, g1 long, g2 long, row long, doc_id long, first int, place int, words binary"
@@ -78,13 +81,33 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "g1", "g2", "row", "doc_id", "first", "place", "words"])
 
 
+def _runs(at: np.ndarray) -> list[dict]:
+    """Sorted positions as runs of consecutive ones."""
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > 1)
+    return [{"first": int(a), "last": int(b)} for a, b in zip(at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)], strict=True)]
+
+
+_HITS = "array<struct<first:int,last:int>>"
+
+
+def _every(size: Column) -> Column:
+    """All windows of ``size`` bytes of word hashes, as one run."""
+    return F.array(F.struct(F.lit(0).alias("first"), (F.floor(size / 8) - WINDOW).cast("int").alias("last")))
+
+
+def _moved(hits: Column, by: Column) -> Column:
+    return F.transform(hits, lambda x: F.struct((x["first"] + by).alias("first"), (x["last"] + by).alias("last")))
+
+
 def _search(group: pd.DataFrame) -> pd.DataFrame:
     """Windows of each piece that begin in a piece of a smaller document, by the shard's FM-index."""
     sequences = [np.frombuffer(w, W.U64) for w in group["words"]]
     _, owner = np.unique(group["doc_id"].to_numpy(), return_inverse=True)
     index = Index(sequences, owner)
     found = index.statistics(owner) >= WINDOW
-    hits = [np.flatnonzero(found[b : b + n]).tolist() for b, n in zip(index.begin, index.sizes, strict=True)]
+    hits = [_runs(np.flatnonzero(found[b : b + n])) for b, n in zip(index.begin, index.sizes, strict=True)]
     return pd.DataFrame({"anchor": group["anchor"], "g1": group["g1"], "g2": group["g2"], "hits": hits})
 
 
@@ -123,7 +146,7 @@ def _matches(pieces: DataFrame) -> DataFrame:
     """(anchor, g1, g2, hits) of distinct pieces (with doc_id, words): dealt to shards by anchor, searched in each."""
     shards = max(1, -(-pieces.count() // SHARD))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    return pieces.select("anchor", "g1", "g2", "doc_id", "words").withColumn("shard", shard).groupBy("shard").applyInPandas(_search, "anchor long, g1 long, g2 long, hits array<int>")
+    return pieces.select("anchor", "g1", "g2", "doc_id", "words").withColumn("shard", shard).groupBy("shard").applyInPandas(_search, f"anchor long, g1 long, g2 long, hits {_HITS}")
 
 
 def _in_crowds(pieces: DataFrame) -> DataFrame:
@@ -141,69 +164,81 @@ def _in_crowds(pieces: DataFrame) -> DataFrame:
     found = cut(_matches(classes.withColumnsRenamed({"t1": "g1", "t2": "g2"}))).withColumnsRenamed({"g1": "t1", "g2": "t2"})
     # Windows of a cut piece: all of them if a smaller document has the same, else what the index found.
     known = trimmed.join(classes.select("anchor", "t1", "t2", F.col("doc_id").alias("least")), ["anchor", "t1", "t2"]).join(found, ["anchor", "t1", "t2"])
-    every = F.sequence(F.lit(0), F.floor(F.octet_length("words") / 8).cast("int") - WINDOW)
-    hits = F.when(F.col("doc_id") > F.col("least"), every).otherwise(F.col("hits"))
-    return known.select("anchor", "g1", "g2", F.transform(hits, lambda x: x + F.col("cut")).alias("hits"))
+    hits = F.when(F.col("doc_id") > F.col("least"), _every(F.octet_length("words"))).otherwise(F.col("hits"))
+    return known.select("anchor", "g1", "g2", _moved(hits, F.col("cut")).alias("hits"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), n_words, whole (a copy of a smaller document) and starts of each distinct document.
-
-    ``starts`` are the first words of the windows of 50 words that also start in a document with a
-    smaller doc_id. Windows are judged on the input. A null doc_id is smaller than any other.
-
-    Every window has an anchor that its words determine, so equal windows meet at one anchor, and
-    the index is sharded by anchors: a shard holds the pieces of text around its anchors, and only
-    these are streamed through it. Anchors found in one document only are dropped before any text
-    moves. Copies of a text are one text; equal pieces are one piece, of the smallest document.
-    """
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of each row; texts (row, text) of those with shared anchors; runs of repeated windows by row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    read = cut(texts.mapInArrow(_read, "doc_id long, key long, n_words long, d1 long, d2 long, anchors array<long>").withColumn("id", id_).dropDuplicates(["doc_id", "key"]).withColumn("row", F.monotonically_increasing_id()))
-    copies = cut(read.filter(F.col("n_words") >= WINDOW).groupBy("d1", "d2").agg(F.min("id").alias("least")))
-    judged = read.join(copies, ["d1", "d2"], "left").withColumn("whole", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
-    judged = cut(judged.select("doc_id", "key", "id", "row", "n_words", "whole", "anchors"))
-    held = judged.filter("NOT whole").select("row", "id", F.explode("anchors").alias("anchor"))
+    read = cut(texts.mapInArrow(_read, "doc_id long, key long, n_words long, d1 long, d2 long, sha256 binary, anchors array<long>").withColumn("id", id_).withColumn("row", F.monotonically_increasing_id()))
+    copies = read.filter(F.col("n_words") >= WINDOW).groupBy("d1", "d2").agg(F.min("id").alias("least"))
+    facts = read.drop("anchors").join(copies, ["d1", "d2"], "left").withColumn("whole", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
+    facts = cut(facts.select("row", "doc_id", "key", "id", "n_words", "sha256", "whole"))
+    held = read.join(facts.filter("whole").select("row"), "row", "left_anti").select("row", "id", F.explode("anchors").alias("anchor"))
     shared = held.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor")
     asked = held.join(shared, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("shared"))
-    asked = cut(asked.join(judged.select("row", "doc_id", "id", "key"), "row"))
-    found = texts.alias("t").join(small(asked, 10_000).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key"))
-    found = found.select("a.row", F.col("a.id").alias("doc_id"), "a.shared", "t.text")
+    asked = cut(asked.join(facts.select("row", "doc_id", "id", "key"), "row"))
+    found = texts.alias("t").join(small(asked, LOOKED_UP).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key"))
+    found = cut(found.select("a.row", F.col("a.id").alias("doc_id"), "a.shared", "t.text"))
     pieces = cut(found.mapInArrow(_pieces, _PIECE))
     classes = cut(pieces.groupBy("anchor", "g1", "g2").agg(F.min("doc_id").alias("doc_id"), F.first("place").alias("place"), F.first("words").alias("words")))
     crowded = cut(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("anchor"))
-    usual = _matches(cut(classes.join(small(crowded), "anchor", "left_anti")))
-    hits = cut(usual.unionAll(_in_crowds(cut(classes.join(small(crowded), "anchor", "left_semi")))).filter(F.size("hits") > 0))
+    usual = _matches(classes.join(small(crowded), "anchor", "left_anti"))
+    crowds = _in_crowds(classes.join(small(crowded), "anchor", "left_semi"))
+    hits = usual.unionAll(crowds).filter(F.size("hits") > 0)
     # A piece that a smaller document has too is found there as a whole.
-    known = pieces.drop("words").join(classes.select("anchor", "g1", "g2", F.col("doc_id").alias("least"), F.octet_length("words").alias("bytes")), ["anchor", "g1", "g2"]).join(hits, ["anchor", "g1", "g2"], "left")
-    every = F.sequence(F.lit(0), F.floor(F.col("bytes") / 8).cast("int") - WINDOW)
-    relative = F.when(F.col("doc_id") > F.col("least"), every).otherwise(F.coalesce("hits", F.array().cast("array<int>")))
-    starts = known.select("row", F.explode(relative).alias("x"), "first").groupBy("row").agg(F.array_sort(F.collect_set(F.col("first") + F.col("x"))).alias("starts"))
-    return judged.join(starts, "row", "left").select("doc_id", "key", "n_words", "whole", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    known = classes.select("anchor", "g1", "g2", F.col("doc_id").alias("least"), F.octet_length("words").alias("bytes")).join(hits, ["anchor", "g1", "g2"], "left")
+    known = pieces.drop("words", "place").join(known, ["anchor", "g1", "g2"])
+    runs = F.when(F.col("doc_id") > F.col("least"), _every(F.col("bytes"))).otherwise(F.col("hits"))
+    runs = known.select("row", F.explode(_moved(runs, F.col("first"))).alias("run")).groupBy("row").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    return facts, found.select("row", "text"), runs
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), n_words, whole and runs of each row of ``docs``.
+
+    ``runs`` are the windows of 50 words that also start in a document with a smaller doc_id, by
+    the places of a run's first and last window; they may overlap. ``whole`` marks copies of a
+    smaller document, which are repeated as a whole and have no runs. Windows are judged on the
+    input. A null doc_id is smaller than any other.
+
+    Every window has an anchor that its words determine, so equal windows meet at one anchor, and
+    the index is sharded by anchors: a shard holds the pieces of text around its anchors, and only
+    these are streamed through it. Anchors found in one document only are dropped before any text
+    moves. Copies of a text are one text; equal pieces are one piece, of the smallest document.
+    """
+    facts, _, runs = _found(docs)
+    return facts.join(runs, "row", "left").select("doc_id", "key", "n_words", "whole", F.coalesce("runs", F.array().cast(_HITS)).alias("runs"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.slices(batches, "text"):
-        found = W.split(batch.column("text"))
-        ends, digest, gone = found.first, [], []
-        for r, (whole, starts, text) in enumerate(zip(batch.column("whole").to_pylist(), batch.column("starts"), batch.column("text").to_pylist(), strict=True)):
-            n = int(ends[r + 1] - ends[r])
-            removed = np.ones(n, bool) if whole else W.cover(np.asarray(starts.values if starts.is_valid else [], np.int64), WINDOW, n)
+    for batch in batches:
+        digest, gone = [], []
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             parts = (text or "").encode().split()
-            digest.append(hashlib.sha256(b" ".join([p for p, x in zip(parts, removed.tolist(), strict=True) if not x])).hexdigest())
+            change = np.zeros(len(parts) + 1, np.int32)
+            for run in runs:
+                change[run["first"]] += 1
+                change[run["last"] + WINDOW] -= 1
+            removed = np.cumsum(change[:-1]) > 0
+            digest.append(hashlib.sha256(b" ".join([p for p, x in zip(parts, removed.tolist(), strict=True) if not x])).digest())
             gone.append(int(removed.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(gone, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(gone, pa.int64()), pa.array(digest, pa.binary())], names=["row", "n_removed", "kept"])
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by spaces) of each row of ``docs``.
 
     Words that a window of :func:`repeats` covers are removed. Null and empty texts have no words;
-    a text of fewer than 50 words loses none; repeated rows are judged as one document and each
-    keep their row; an empty table gives an empty result; other columns are dropped. Only documents
-    that lose words are looked up, the others aren't matched with anything.
+    a text of fewer than 50 words loses none; repeated rows are judged alike and each keep their
+    row; an empty table gives an empty result; other columns are dropped. Texts are read again only
+    where a part of them is removed.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    losing = cut(repeats(docs).filter("whole OR size(starts) > 0").select("doc_id", "key", "whole", "starts"))
-    rows = texts.alias("t").join(small(losing, 10_000).alias("l"), F.expr("t.doc_id <=> l.doc_id AND t.key = l.key"), "left").select("t.doc_id", "t.text", "l.whole", "l.starts")
-    return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    facts, texts, runs = _found(docs)
+    parts = texts.join(runs, "row").mapInArrow(_kept, "row long, n_removed long, kept binary").dropDuplicates(["row"])
+    nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
+    n = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    digest = F.when(F.col("whole"), nothing).otherwise(F.coalesce("kept", "sha256"))
+    return facts.join(parts, "row", "left").select("doc_id", "n_words", n.cast("long").alias("n_removed"), F.lower(F.hex(digest)).alias("kept_sha256"))

@@ -17,7 +17,7 @@ from .spark import cut, small
 
 WINDOW, GRAM = 50, 8
 #: Pieces of text in a shard, and of one anchor beyond which its pieces are trimmed first.
-SHARD, CROWD = 8_000, 500
+SHARD, CROWD = 4_000, 500
 #: Documents with shared anchors (a few hundred bytes each) that are looked up by broadcast at most.
 LOOKED_UP = 100_000
 

@@ -89,6 +89,8 @@ GAP = 1
 
 _KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
 _END = re.compile(r"(?<=[.!?])[)\"'”’]*\s+(?=[A-Z0-9\"'(“*#/-])|\n\s*\n|\n(?=[A-Z0-9*#/-])")
+#: An SPDX tag ends with its line.
+_TAG = re.compile(r"(spdx-license-identifier:[^\n]*)\n", re.I)
 _PLAIN = re.compile(r"[^\w.+©]+|_")
 
 
@@ -115,7 +117,7 @@ def scan(text: str | None) -> tuple[list[str], list[str]]:
     if not text or not _needed(text):
         return [], []
     found: list[tuple[int, str]] = []
-    for k, sentence in enumerate(_END.split(text)):
+    for k, sentence in enumerate(_END.split(_TAG.sub(r"\1\n\n", text))):
         if _needed(sentence) and (name := identify(sentence)):
             found.append((k, name))
     licences, at = set(), 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,6 @@ MIN_DOCS, MAX_SHARE = 100, 0.2
 #: A document is depleted if its lines above the limit hold more than this share of its words.
 DEPLETED = 0.8
 
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BASE = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
 
 
@@ -63,7 +61,7 @@ def _lines(text: str | None) -> tuple[int, list[int], list[int]]:
             continue
         again += line in raw
         raw.add(line)
-        key = re.sub(rb"\d+", b"0", b" ".join(parts).lower())
+        key = b" ".join(parts).lower()
         held[key] = held.get(key, 0) + len(parts)
     return again, [_digest(k) for k in held], list(held.values())
 
@@ -84,7 +82,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judge(docs: DataFrame, host: str = "source", *, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, depleted: float = DEPLETED) -> DataFrame:
     """doc_id, host, content, the base counts, base_failed, removed_words and kept for each row of ``docs``.
 
-    Lines are compared by a 64-bit hash of their words in lower case with digit runs as 0. Copies
+    Lines are compared by a 64-bit hash of their words, A-Z in lower case. Copies
     of one text count as one document, so a text is not held against itself. A line's limit at a
     host is ``min_docs`` documents and ``max_share`` of the host's documents, whichever is larger;
     a document is depleted if lines above it hold more than ``depleted`` of its words.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,7 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # What was shuffled to make it is needed no more; Spark deletes it once the driver's garbage is collected.
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

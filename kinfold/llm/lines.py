@@ -29,17 +29,19 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     found = W.split(texts)
     n = int(found.offsets[-1])
     begins = np.unique(np.concatenate([found.offsets[:-1], np.flatnonzero(found.data[:n] == 10) + 1]))
-    line = np.searchsorted(begins, found.start, "right") - 1
-    used, index = np.unique(line, return_inverse=True)
+    words = np.diff(np.searchsorted(found.start, begins), append=len(found.start))
+    used = np.flatnonzero(words)
+    index = np.repeat(np.arange(len(used)), words[used])
     token = found.hash >> W.U64(20)
     if len(used) < 1 << 20:
-        packed = np.unique((index.astype(W.U64) << _BITS) | token)
+        packed = (index.astype(W.U64) << _BITS) | token
+        packed.sort()
         index, token = (packed >> _BITS).astype(np.int64), packed & _TOKEN
     else:
         order = np.lexsort((token, index))
         index, token = index[order], token[order]
-        new = np.concatenate([[True], (index[1:] != index[:-1]) | (token[1:] != token[:-1])])
-        index, token = index[new], token[new]
+    new = np.append(True, (index[1:] != index[:-1]) | (token[1:] != token[:-1]))[: len(index)]
+    index, token = index[new], token[new]
     row = np.searchsorted(found.offsets, begins[used], "right") - 1
     return index, token, row, used - np.searchsorted(begins, found.offsets[row])
 
@@ -71,12 +73,17 @@ def counters(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """12 bits for each counter that grow with it: the leading bits of its floating-point form."""
+    return ((counts.astype(np.float32) + np.float32(1)).view(np.uint32) - np.uint32(0x3F800000) >> np.uint32(17)).astype(np.uint16)
+
+
 _LINE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("line", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("bitmap", pa.int64()), ("prefix", pa.list_(pa.int32()))])
 
 
-def _prefixes(counts, threshold: float):
+def _prefixes(rarities, threshold: float):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = counts.value
+        held = rarities.value
         for batch in W.slices(batches, "text", 2 << 20):
             index, token, row, number = _tokens(batch.column("text"))
             if not len(row):
@@ -85,13 +92,17 @@ def _prefixes(counts, threshold: float):
             n = np.diff(np.append(start, len(index)))
             s1, s2 = (np.add.reduceat(W.mix(token ^ W.U64(salt)), start).view(np.int64) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
             bitmap = np.bitwise_xor.reduceat(W.U64(1) << (token >> W.U64(30) & W.U64(63)), start).view(np.int64)
-            # Rarest first; equal counts in the order of tokens, which is the order here.
-            rarity = np.minimum(held[(token & W.U64(COUNTERS - 1)).astype(np.int64)], (1 << 31) - 1).astype(np.int64)
-            order = np.lexsort((rarity, index))
+            # Rarest first; equal ranks in the order of the tokens' upper 32 bits, which stand for them in prefixes.
+            rarity, word = held[(token & W.U64(COUNTERS - 1)).astype(np.int64)].astype(W.U64), token >> W.U64(12)
+            if len(row) < 1 << 20:
+                word = (index.astype(W.U64) << W.U64(44)) | (rarity << W.U64(32)) | word
+                word.sort()
+            else:
+                word = word[np.lexsort((word, rarity, index))]
             size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             place = np.arange(len(index)) - np.repeat(start, n)
-            first = token[order[place < np.repeat(size, n)]]
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array((first >> W.U64(12)).astype(np.uint32).view(np.int32)))
+            first = word[place < np.repeat(size, n)] & W.U64(0xFFFFFFFF)
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first.astype(np.uint32).view(np.int32)))
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(number), pa.array(s1), pa.array(s2), pa.array(n), pa.array(bitmap), prefix], schema=_LINE)
 
@@ -141,20 +152,26 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     of them are still found. Bitmaps of words drop pairs that can't be similar before their sets are fetched.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    counts = docs.sparkSession.sparkContext.broadcast(counters(texts))
-    lines = texts.mapInArrow(_prefixes(counts, threshold), "doc_id long, key long, line long, s1 long, s2 long, n long, bitmap long, prefix array<int>")
+    rarities = docs.sparkSession.sparkContext.broadcast(ranks(counters(texts)))
+    lines = texts.mapInArrow(_prefixes(rarities, threshold), "doc_id long, key long, line long, s1 long, s2 long, n long, bitmap long, prefix array<int>")
     at = F.struct(F.col("doc_id"), F.col("key"), F.col("line"), F.col("n"), F.col("bitmap"), F.col("prefix"))
     firsts = lines.groupBy("s1", "s2").agg(F.min(at).alias("x")).select("x.*")
     # In the order of the lines, so that an id is less than another if its line is earlier.
     firsts = cut(firsts.orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")).withColumn("id", F.monotonically_increasing_id())
-    words = firsts.select("id", "n", "bitmap", F.posexplode("prefix").alias("place", "word"))
+
+    def exploded(lines: DataFrame) -> DataFrame:
+        return lines.select("id", "n", "bitmap", F.posexplode("prefix").alias("place", "word"))
+
+    words = exploded(firsts)
     pack = F.shiftleft(F.col("n"), 32) + F.col("place")
     earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by(pack, "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap"))
     earliest = earliest.select("word", "id", F.shiftright("packed", 32).alias("n"), (F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"), "bitmap")
 
     def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & _fits("a", "b", threshold)
-        return cut(left.alias("a").join(right.alias("b"), on).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct())
+        """Pairs of a line and an earlier one. A settled line has -1 - id for its id: it is later than none."""
+        other = F.greatest(F.col("b.id"), -1 - F.col("b.id"))
+        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > other) & _fits("a", "b", threshold)
+        return cut(left.alias("a").join(right.alias("b"), on).select(F.col("a.id").alias("id"), other.alias("other")).distinct())
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Lines of which a pair's similarity is high enough."""
@@ -169,7 +186,10 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         return cut(known.filter(F.col("both") / (F.size("mine") + F.size("others") - F.col("both")) >= threshold).select("id").distinct())
 
     settled = similar(paired(words, earliest))
-    rest = similar(paired(words.join(small(settled, LOOKED_UP), "id", "left_anti"), words))
+    # Both sides of the second join are the same rows, so that one shuffle serves both.
+    marked = firsts.join(small(settled.withColumn("settled", F.lit(True)), LOOKED_UP), "id", "left")
+    marked = exploded(marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id"))))
+    rest = similar(paired(marked, marked))
     gone = settled.unionAll(rest)
     kept = firsts.join(small(gone, LOOKED_UP), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
     n_lines = texts.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))

@@ -126,11 +126,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fits(a: str, b: str, threshold: float) -> Column:
     """Length, position and bitmap filters: a pair of that similarity passes at its first common prefix token."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    n, m = (F.shiftright(F.col(f"{x}.packed"), 32) for x in (a, b))
+    after_a, after_b = (size - F.col(f"{x}.packed").bitwiseAND(F.lit(0xFFFFFFFF)) for size, x in ((n, a), (m, b)))
     overlap = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     return (
         (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
-        & (1 + F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) - 1 >= overlap)
+        & (F.least(after_a, after_b) >= overlap)
         & (F.bit_count(F.col(f"{a}.bitmap").bitwiseXOR(F.col(f"{b}.bitmap"))) <= n + m - 2 * overlap)
     )
 
@@ -160,12 +161,13 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     firsts = cut(firsts.orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")).withColumn("id", F.monotonically_increasing_id())
 
     def exploded(lines: DataFrame) -> DataFrame:
-        return lines.select("id", "n", "bitmap", F.posexplode("prefix").alias("place", "word"))
+        """(id, packed: number of words and place, bitmap, word) for each word of the prefixes."""
+        words = lines.select("id", "n", "bitmap", F.posexplode("prefix").alias("place", "word"))
+        return words.select("id", (F.shiftleft(F.col("n"), 32) + F.col("place")).alias("packed"), "bitmap", "word")
 
     words = exploded(firsts)
-    pack = F.shiftleft(F.col("n"), 32) + F.col("place")
-    earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by(pack, "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap"))
-    earliest = earliest.select("word", "id", F.shiftright("packed", 32).alias("n"), (F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"), "bitmap")
+    # A row for each word, so that a task can hold its part of them and nothing need be sorted.
+    earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
 
     def paired(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of a line and an earlier one. A settled line has -1 - id for its id: it is later than none."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import isqrt
+from math import isqrt, log
 
 import numpy as np
 import pandas as pd
@@ -112,16 +112,14 @@ def _prefixes(rarities, threshold: float):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The token sets of the lines asked for: columns text, lines (list of number and id)."""
     for batch in W.slices(batches, "text", 2 << 20):
-        index, token, row, number = _tokens(batch.column("text"))
-        start = np.append(np.searchsorted(index, np.arange(len(row))), len(index))
-        at = {(int(r), int(k)): p for p, (r, k) in enumerate(zip(row, number, strict=True))}
-        ids, sets = [], []
-        for r, asked in enumerate(batch.column("asked").to_pylist()):
-            for x in asked:
-                p = at[r, x["line"]]
-                ids.append(x["id"])
-                sets.append(token[start[p] : start[p + 1]].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+        ids, found = [], []
+        for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            of_text = text.split("\n")
+            ids += [x["id"] for x in asked]
+            found += [of_text[x["line"]] for x in asked]
+        index, token, _, _ = _tokens(pa.array(found, pa.large_string()))
+        start = np.searchsorted(index, np.arange(len(ids) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(start), pa.array(token.astype(np.int64)))], names=["id", "tokens"])
 
 
 def _fits(a: str, b: str, threshold: float) -> Column:
@@ -169,11 +167,34 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     # A row for each word, so that a task can hold its part of them and nothing need be sorted.
     earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
 
-    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of a line and an earlier one. A settled line has -1 - id for its id: it is later than none."""
-        other = F.greatest(F.col("b.id"), -1 - F.col("b.id"))
-        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > other) & _fits("a", "b", threshold)
-        return cut(left.alias("a").join(right.alias("b"), on).select(F.col("a.id").alias("id"), other.alias("other")).distinct())
+    def first_pairs() -> DataFrame:
+        """Pairs of a line and the earliest one of a word in its prefix."""
+        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & _fits("a", "b", threshold)
+        return cut(words.alias("a").join(earliest.alias("b"), on).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct())
+
+    def size_class(n: Column) -> Column:
+        """Sets of n and of up to n / threshold words are in one class or in neighbours."""
+        return F.floor(F.log(n.cast("double")) / log(max(threshold**-2, 1.01)))
+
+    def all_pairs(marked: DataFrame) -> DataFrame:
+        """Pairs of lines of which the later isn't settled; a settled line has -1 - id for its id.
+
+        The longer line of a pair shares a word of its prefix with the shorter line's first
+        n - 2 * threshold / (1 + threshold) * n + 1 words. The shorter is dealt to the classes of the sizes that it
+        can be similar to, so that lines of very different sizes never meet, however common their words are.
+        """
+        n, place = F.shiftright("packed", 32), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
+        key = lambda size: F.shiftleft(F.col("word").cast("long"), 16) + size
+        found = exploded(marked)
+        longer = found.select("id", "packed", "bitmap", key(size_class(n)).alias("key"))
+        shorter = found.filter(place <= n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
+        sizes = F.sequence(size_class(n), size_class(F.floor(n / threshold + 1e-9)))
+        shorter = shorter.select("id", "packed", "bitmap", "word", F.explode(sizes).alias("size")).select("id", "packed", "bitmap", key(F.col("size")).alias("key"))
+        a, b = (F.greatest(F.col(f"{x}.id"), -1 - F.col(f"{x}.id")) for x in "ab")
+        size_a, size_b = (F.shiftright(f"{x}.packed", 32) for x in "ab")
+        on = (F.col("a.key") == F.col("b.key")) & ((size_a > size_b) | ((size_a == size_b) & (a > b))) & _fits("a", "b", threshold)
+        open_ = F.when(a > b, F.col("a.id")).otherwise(F.col("b.id")) >= 0
+        return cut(longer.alias("a").join(shorter.alias("b"), on & open_).select(F.greatest(a, b).alias("id"), F.least(a, b).alias("other")).distinct())
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Lines of which a pair's similarity is high enough."""
@@ -187,14 +208,12 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         known = pairs.join(a, "id").join(b, "other").withColumn("both", both)
         return cut(known.filter(F.col("both") / (F.size("mine") + F.size("others") - F.col("both")) >= threshold).select("id").distinct())
 
-    settled = similar(paired(words, earliest))
-    # Both sides of the second join are the same rows, so that one shuffle serves both.
+    settled = similar(first_pairs())
     marked = firsts.join(small(settled.withColumn("settled", F.lit(True)), LOOKED_UP), "id", "left")
-    marked = exploded(marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id"))))
-    rest = similar(paired(marked, marked))
+    rest = similar(all_pairs(marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))))
     gone = settled.unionAll(rest)
     kept = firsts.join(small(gone, LOOKED_UP), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
-    n_lines = texts.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
+    n_lines = texts.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")).cast("long").alias("n_lines"))
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
 

@@ -23,8 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     out = df.checkpoint()
     # What was shuffled to make it is needed no more; Spark deletes it once the driver's garbage is collected.
+    # The executed plan of df refers to it, so that df must go first.
+    del df
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    out.sparkSession._jvm.System.gc()
     return out
 
 

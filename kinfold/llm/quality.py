@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as W
 from .spark import cut, small, without
 
-#: A line is above its host's limit if more documents than both hold it.
-MIN_DOCS, MAX_SHARE = 100, 0.2
+#: A line is above its host's limit if more documents hold it than this and than the square root of the host's documents.
+MIN_DOCS = 10
 #: A document is depleted if its lines above the limit hold more than this share of its words.
 DEPLETED = 0.8
 
@@ -79,22 +79,23 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=_FACTS)
 
 
-def judge(docs: DataFrame, host: str = "source", *, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", *, min_docs: int = MIN_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """doc_id, host, content, the base counts, base_failed, removed_words and kept for each row of ``docs``.
 
     Lines are compared by a 64-bit hash of their words, A-Z in lower case. Copies
     of one text count as one document, so a text is not held against itself. A line's limit at a
-    host is ``min_docs`` documents and ``max_share`` of the host's documents, whichever is larger;
-    a document is depleted if lines above it hold more than ``depleted`` of its words.
+    host is ``min_docs`` documents or the square root of the host's documents, whichever is larger:
+    a limit in proportion to the host would spare boilerplate of large hosts. A document is depleted
+    if lines above it hold more than ``depleted`` of its words.
 
-    A line's count is aggregated before it is shuffled, and the lines above the limit (fewer than a
-    few for each host) are broadcast if they are few. Null texts have no words and fail; a null host
+    A line's count is aggregated before it is shuffled, and the lines above the limit are broadcast
+    if they are few. Null texts have no words and fail; a null host
     is a host; repeated rows are judged alike; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").alias("key"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("content"), "text")
     facts = cut(rows.mapInArrow(_facts, "key long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>").withColumn("at", F.monotonically_increasing_id()))
     once = facts.groupBy("host", "content").agg(F.min("at").alias("at"))
-    limits = once.groupBy("host").agg(F.greatest(F.lit(min_docs), F.count(F.lit(1)) * F.lit(max_share)).alias("limit"))
+    limits = once.groupBy("host").agg(F.greatest(F.lit(min_docs), F.sqrt(F.count(F.lit(1)))).alias("limit"))
     counts = facts.join(once.select("at"), "at", "left_semi").select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
     above = cut(counts.alias("c").join(limits.alias("l"), F.expr("c.host <=> l.host AND c.n > l.limit")).select("c.host", "c.line"))
     held = facts.select("at", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("at", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))

@@ -184,6 +184,17 @@ def test_quality(spark):
     assert not got[2000].kept and got[2000].n_dup_lines == 4
 
 
+def test_quality_of_a_hot_host(spark):
+    """Boilerplate in 5 % of a host's 4,000 documents is above its limit of 63; a line in 63 of them isn't."""
+    own = lambda k: " ".join(f"u{k}x{j}" for j in range(60))
+    shared = lambda k: "all rights reserved by us" if k < 200 else "a rare line of ours" if k < 263 else ""
+    texts = [(k, f"{shared(k)}\n{own(k)}", "s") for k in range(3998)] + [(5000, "\n".join(["all rights reserved by us"] * 40 + [own(5000)[:200]]), "s"), (5001, own(5001), "s")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()}
+    assert {k for k, r in got.items() if r.removed_words} == {*range(200), 5000}
+    assert all(got[k].removed_words == 5 and got[k].kept for k in range(200))
+    assert got[5000].removed_words == 200 and not got[5000].kept
+
+
 def test_html():
     page = '<html><body><header>top</header><nav><a href="/">home</a></nav><div class="post"><h1>Title</h1><p>One &amp; two<br>three</p><p>a < b <b>bold</b>ly</p><div class="ad">buy</div><ul><li>x</li><li>y</li></ul></div><div class="comments"><p>me too</p></div><footer>end</footer><script>var a="</p>"</script></body>'
     assert html.extract_one(page, None) == ("Title\nOne & two three\na < b boldly\nx\ny", "body>div.post")

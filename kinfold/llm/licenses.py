@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,7 +35,7 @@ SENTENCES = (
     ("GPL2Later", r"(?:.* )?under the (?:terms of the )?gnu general public license,? ?(?:as published by the free software foundation )?(?:either )?(?:version |v)2(?:\.0)? of the license or (?:at your option )?any later version"),
     ("GPLWarranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
     ("GPLCopy", r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with this program.*"),
-    ("MPLRef", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2\.0"),
+    ("MPLRef", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)?\.? ?2\.0"),
     ("MPLCopy", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
     ("BSDGrant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*"),
     ("BSDSource", r"(?:\d )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
@@ -82,13 +84,38 @@ RULES = (
     ("unrecognised licence text", ("MITWarranty",)),
     ("unrecognised licence text", ("BSDGrant",)),
 )
-#: Each pattern above needs one of these in its sentence, so other sentences aren't looked at.
-NEEDED = ("licen", "copyright", "©", "warrant", "permission", "redistribution", "neither the name", "in no event", "all rights", "cc by", "cc0", "cc-by", "creative commons", "unencumbered", "mpl was")
+#: Each pattern above needs one of these in its sentence, so other sentences aren't looked at; words of a phrase may be on two lines.
+NEEDED = ("licen", "copyright", "©", "warrant", "permission", "redistribution", "cc0", "unencumbered")
+NEEDED_PHRASES = {"neither": "neither the name", "event": "in no event", "rights": "all rights", "cc": "cc by", "creative": "creative commons", "mpl": "mpl was"}
 #: Unknown sentences that may stand between two sentences of a rule, such as a copyright line.
 GAP = 1
 
-_KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
-_END = re.compile(r"(?<=[.!?])[)\"'”’]*\s+(?=[A-Z0-9\"'(“*#/-])|\n\s*\n|\n(?=[A-Z0-9*#/-])")
+_PHRASES = {word: re.compile(r"[\W_]+".join(x.split())) for word, x in NEEDED_PHRASES.items()}
+
+
+def _literals(pattern: str) -> tuple[str, ...]:
+    """Plain texts one of which each match of a pattern holds."""
+    left = pattern
+    while (shorter := re.sub(r"\([^()]*\)\??", "\n", left)) != left:
+        left = shorter
+    longest = max(re.split(r"\[[^]]*\][+*?]?|\{\d+\}|\\.|.[?*]|[^a-z0-9 ]", left), key=len)
+    return (longest,) if len(longest) > 2 else tuple(re.search(r"\(\?:([^()]*)\)(?!\?)", pattern)[1].split("|"))
+
+
+_KNOWN = [(name, re.compile(p), _literals(p)) for name, p in SENTENCES]
+#: Where such a text begins, the shortest one.
+_LITERAL = re.compile("(?=(" + "|".join(sorted({re.escape(x) for _, _, found in _KNOWN for x in found}, key=len)) + "))")
+#: Comment marks at the start and the end of a line; a line of marks only is an empty one.
+_OPENS = re.compile(r"^[ \t]*(?:<!--|/\*+!?|\*+/|//+!?|--+|[*#;%>|]+|(?:dnl|rem)\b)*[ \t]*", re.I | re.M)
+_CLOSES = re.compile(r"[ \t]*(?:\*+/|-->|[*#|]+)[ \t]*$", re.M)
+#: A sentence ends at its full stop, except after a few abbreviations, and at an empty line.
+_END = re.compile(r"(?<=[.!?])(?<!\bv\.)(?<!\bver\.)(?<!\binc\.)(?<!\bltd\.)(?<!\bcorp\.)(?<!\bco\.)[)\"'”’]*\s+|\n\s*\n", re.I)
+#: Where a sentence without a full stop may end too; what is known decides.
+_MAY_END = re.compile(r"\n|;")
+#: Words of a sentence that is put together from lines; a line by itself may be longer.
+JOINED_WORDS = 200
+#: These don't run on over a line that starts with a capital or a digit.
+ONE_LINE = ("SPDX", "Copyright")
 #: An SPDX tag ends with its line.
 _TAG = re.compile(r"(spdx-license-identifier:[^\n]*)\n", re.I)
 _PLAIN = re.compile(r"[^\w.+©]+|_")
@@ -96,7 +123,7 @@ _PLAIN = re.compile(r"[^\w.+©]+|_")
 
 def _needed(text: str) -> bool:
     low = text.lower()
-    return any(x in low for x in NEEDED)
+    return any(x in low for x in NEEDED) or any(word in low and phrase.search(low) for word, phrase in _PHRASES.items())
 
 
 def normalise(sentence: str) -> str:
@@ -105,21 +132,63 @@ def normalise(sentence: str) -> str:
 
 
 def identify(sentence: str) -> str | None:
-    plain = normalise(sentence)
-    for name, pattern in _KNOWN:
-        if m := pattern.fullmatch(plain):
+    return _name(normalise(sentence))
+
+
+def _name(plain: str) -> str | None:
+    for name, pattern, literals in _KNOWN:
+        if any(x in plain for x in literals) and (m := pattern.fullmatch(plain)):
             return f"SPDX:{m[1].strip()}" if name == "SPDX" else name
     return None
 
 
+def known(segment: str) -> list[str]:
+    """Identifiers of the known sentences in a text without full stops, in order.
+
+    Each is a run of lines (or of parts between semicolons); of all ways to choose them the one with
+    most sentences counts, and of these the one whose sentences have most words.
+    """
+    raw = [x for x in _MAY_END.split(segment) if normalise(x)]
+    parts = [normalise(x) for x in raw]
+    runs_on = [x.lstrip()[:1].islower() for x in raw]
+    words = [x.count(" ") + 1 for x in parts]
+    # The first part up to which a sentence that begins with a part has what each pattern needs.
+    ends = list(accumulate(len(x) + 1 for x in parts))
+    enough = [len(parts)] * (len(parts) + 1)
+    for m in _LITERAL.finditer(" ".join(parts)):
+        at = bisect_right(ends, m.start())
+        enough[at] = min(enough[at], bisect_right(ends, m.end(1) - 1))
+    best: list[tuple[int, int, tuple]] = [(0, 0, ())] * (len(parts) + 1)
+    for i in range(len(parts) - 1, -1, -1):
+        best[i] = best[i + 1]
+        enough[i] = min(enough[i], enough[i + 1])
+        n, plain, one_line = 0, "", True
+        for j in range(i, len(parts)):
+            n += words[j]
+            if j > i and n > JOINED_WORDS:
+                break
+            plain = f"{plain} {parts[j]}" if plain else parts[j]
+            one_line &= j == i or runs_on[j]
+            if j >= enough[i] and (name := _name(plain)) and (one_line or name.split(":")[0] not in ONE_LINE):
+                best[i] = max(best[i], (best[j + 1][0] + 1, best[j + 1][1] + n, (name, best[j + 1][2])), key=lambda x: x[:2])
+    found, rest = [], best[0][2]
+    while rest:
+        name, rest = rest
+        found.append(name)
+    return found
+
+
 def scan(text: str | None) -> tuple[list[str], list[str]]:
     """Identifiers of the known sentences in order, and the licences whose rules they meet, sorted."""
     if not text or not _needed(text):
         return [], []
     found: list[tuple[int, str]] = []
-    for k, sentence in enumerate(_END.split(_TAG.sub(r"\1\n\n", text))):
-        if _needed(sentence) and (name := identify(sentence)):
-            found.append((k, name))
+    text = _CLOSES.sub("", _OPENS.sub("", text.replace("\r\n", "\n")))
+    # The number of a list item is no sentence.
+    segments = [x for x in _END.split(_TAG.sub(r"\1\n\n", text)) if not (plain := normalise(x)).isdigit() and plain]
+    for k, segment in enumerate(segments):
+        if _needed(segment):
+            found += [(k, name) for name in known(segment)]
     licences, at = set(), 0
     while at < len(found):
         for licence, rule in RULES:

@@ -61,6 +61,73 @@ def test_licences():
     assert licenses.scan("This work is licensed under the GNU General Public License, version 3.")[1] == ["GPL-3.0"]
 
 
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+LICENCES = {
+    "MIT": MIT,
+    "BSD-3-Clause": BSD,
+    "BSD-2-Clause": "\n\n".join(x for x in BSD.split("\n\n") if "Neither" not in x),
+    "Apache-2.0": APACHE,
+    "GPL-3.0-or-later": GPL,
+    "GPL-2.0-or-later": GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2"),
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL": GPL.replace("GNU General", "GNU Lesser General"),
+    "AGPL-3.0": GPL.replace("GNU General", "GNU Affero General"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.',
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated this work under Creative Commons Zero.",
+    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "BSD": "This module may be used by all and is released under the terms of the BSD License.",
+}
+
+
+@pytest.mark.parametrize("name", LICENCES)
+@pytest.mark.parametrize("width", [10_000, 100, 80, 72, 40, 20])
+def test_licence_texts(name, width):
+    """Wrapped at any width, commented, in capitals, and between other lines."""
+    import textwrap
+
+    wrapped = "\n\n".join("\n".join(textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False)) for x in LICENCES[name].split("\n\n"))
+    for text in (wrapped, wrapped.upper()):
+        marked = [textwrap.indent(text, m, lambda _: True) for m in ("# ", "// ", " * ", "-- ", ";; ", "    ")]
+        for form in (text, *marked, f"/*\n{marked[2]}\n */\nint x;", f"<!--\n{text}\n-->\n<p>", text.replace("\n", "\r\n"), *(f"Some words of mine.\n{text}\n{after}" for after in ("lower case follows", "ñandú", "über alles", "Upper case"))):
+            assert licenses.scan(form)[1] == [name], form
+
+
+def test_licence_lines():
+    assert licenses.scan("Copyright 2020 Foo\nReleased under the MIT License\nint main")[0] == ["Copyright", "MITRef"]
+    assert licenses.scan("Notes on copyright\n1234 items. All about a licence. In 2020 copyright was old.")[0] == []
+    assert licenses.scan("# SPDX-License-Identifier: MIT\n# Copyright 2020 Foo")[1] == ["mit"]
+
+
 def test_substrings(docs, rows):
     texts = [(r[0], WORD.findall(r[1] or "")) for r in rows]
     low = {}

@@ -9,8 +9,8 @@ from kinfold.llm.spark import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep(docs)
+    """Documents that the quality rules keep, without the lines that too many of their source share."""
+    return quality.apply(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

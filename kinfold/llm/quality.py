@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .spark import cut, small, without
+from .spark import BROADCAST_ROWS, cut, small
 
 #: A line is above its host's limit if more documents hold it than this and than the square root of the host's documents.
 MIN_DOCS = 10
@@ -79,6 +79,14 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=_FACTS)
 
 
+def _above(facts: DataFrame, min_docs: int) -> DataFrame:
+    """The (host, line) above their limits, of rows (at, host, content, lines)."""
+    once = facts.groupBy("host", "content").agg(F.min("at").alias("at"))
+    limits = once.groupBy("host").agg(F.greatest(F.lit(min_docs), F.sqrt(F.count(F.lit(1)))).alias("limit"))
+    counts = facts.join(once.select("at"), "at", "left_semi").select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
+    return cut(counts.alias("c").join(limits.alias("l"), F.expr("c.host <=> l.host AND c.n > l.limit")).select("c.host", "c.line"))
+
+
 def judge(docs: DataFrame, host: str = "source", *, min_docs: int = MIN_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """doc_id, host, content, the base counts, base_failed, removed_words and kept for each row of ``docs``.
 
@@ -94,10 +102,7 @@ def judge(docs: DataFrame, host: str = "source", *, min_docs: int = MIN_DOCS, de
     """
     rows = docs.select(F.col("doc_id").alias("key"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("content"), "text")
     facts = cut(rows.mapInArrow(_facts, "key long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>").withColumn("at", F.monotonically_increasing_id()))
-    once = facts.groupBy("host", "content").agg(F.min("at").alias("at"))
-    limits = once.groupBy("host").agg(F.greatest(F.lit(min_docs), F.sqrt(F.count(F.lit(1)))).alias("limit"))
-    counts = facts.join(once.select("at"), "at", "left_semi").select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
-    above = cut(counts.alias("c").join(limits.alias("l"), F.expr("c.host <=> l.host AND c.n > l.limit")).select("c.host", "c.line"))
+    above = _above(facts, min_docs)
     held = facts.select("at", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("at", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
     removed = held.alias("h").join(small(above).alias("a"), F.expr("h.host <=> a.host AND h.line = a.line")).groupBy("at").agg(F.sum("n").alias("removed_words"))
     fails = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -107,18 +112,71 @@ def judge(docs: DataFrame, host: str = "source", *, min_docs: int = MIN_DOCS, de
     )
 
 
-def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_KEYS = pa.schema([("host", pa.string()), ("content", pa.int64()), ("lines", pa.list_(pa.int64()))])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, "text"):
-        found = base(batch.column("text"))
-        yield batch.filter(pa.array(~failed(found["n_words"], found["n_repeat_words"])))
+        keys = [_lines(t)[1] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), pa.array(keys, _KEYS.field("lines").type)], schema=_KEYS)
+
+
+def _without(text: str, gone: Container[int]) -> tuple[str, int]:
+    """The text without the lines whose hashes are in ``gone``, and how many words it loses."""
+    kept, lost = [], 0
+    for line in text.split("\n"):
+        parts = line.encode().split()
+        if parts and _digest(b" ".join(parts).lower()) in gone:
+            lost += len(parts)
+        else:
+            kept.append(line)
+    return ("\n".join(kept), lost) if lost else (text, 0)
 
 
-def keep(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
+def apply(docs: DataFrame, host: str = "source", length: str | None = "n_chars", *, min_docs: int = MIN_DOCS, depleted: float = DEPLETED, held: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns and without the lines above their host's limit.
 
-    What fails by itself is dropped where it is read; only documents that shared lines deplete are
-    looked up, by id, host and text hash.
+    A column ``length`` gets the new number of characters of a text that loses lines. Base rules
+    are held against whole texts. Up to ``held`` lines above the limit are broadcast, and the
+    texts are read where they are; more are joined with the texts.
     """
-    gone = judge(docs, host).filter("NOT kept AND NOT base_failed")
-    fine = docs.mapInArrow(_passing, docs.schema)
-    return without(fine, gone, doc_id=F.col("doc_id").cast("long"), host=F.col(host).cast("string"), content=F.xxhash64("text"))
+    names, schema, count = docs.columns, docs.schema, length if length in docs.columns else None
+    hosts, content = F.col(host).cast("string"), F.xxhash64("text")
+    keys = docs.select(hosts.alias("host"), content.alias("content"), "text").mapInArrow(_keys, "host string, content long, lines array<long>")
+    facts = cut(keys.withColumn("at", F.monotonically_increasing_id()))
+    above = _above(facts, min_docs)
+    rows, by_host = docs.withColumn("__host", hosts), None
+    if above.limit(held + 1).count() <= held:
+        lists: dict[str | None, set[int]] = {}
+        for r in above.collect():
+            lists.setdefault(r["host"], set()).add(r["line"])
+        by_host = docs.sparkSession.sparkContext.broadcast(lists)
+    else:
+        once = facts.dropDuplicates(["host", "content"]).select("host", "content", F.explode("lines").alias("line"))
+        gone = once.alias("f").join(above.alias("a"), F.expr("f.host <=> a.host AND f.line = a.line")).groupBy("f.host", "f.content").agg(F.collect_list("f.line").alias("__gone"))
+        gone = gone.select(F.col("host").alias("__of"), F.col("content").alias("__content"), "__gone")
+        rows = rows.join(gone, F.col("__host").eqNullSafe(F.col("__of")) & (content == F.col("__content")), "left").drop("__of", "__content")
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            found = base(batch.column("text"))
+            ok = ~failed(found["n_words"], found["n_repeat_words"])
+            batch, n_words = batch.filter(pa.array(ok)), found["n_words"][ok]
+            if by_host is None:
+                gone = batch.column("__gone").to_pylist()
+            else:
+                gone = [by_host.value.get(h) for h in batch.column("__host").to_pylist()]
+            old = batch.column("text").to_pylist()
+            new = [_without(t, g) if g else (t, 0) for t, g in zip(old, gone, strict=True)]
+            out = []
+            for name in names:
+                column = batch.column(name)
+                if name == "text":
+                    column = pa.array([t for t, _ in new], column.type)
+                elif name == count:
+                    column = pa.array([len(t) if lost else was for was, (t, lost) in zip(column.to_pylist(), new, strict=True)], column.type)
+                out.append(column)
+            stay = [lost <= depleted * int(n) for (_, lost), n in zip(new, n_words, strict=True)]
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(stay, pa.bool_()))
+
+    return rows.mapInArrow(cleaned, schema)

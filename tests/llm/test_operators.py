@@ -262,6 +262,52 @@ def test_quality_of_a_hot_host(spark):
     assert got[5000].removed_words == 200 and not got[5000].kept
 
 
+def shared_corpus():
+    """The corpus, and lines that many documents of a source share; judged in plain Python."""
+    rows = [r for r in corpus(6, 90)]
+    line = "Subscribe  to our Newsletter\ttoday"
+    rows = [(r[0], f"{line}\n{r[1]}\n{line.upper()}" if r[1] and r[0] is not None and r[0] % 2 else r[1], *r[2:]) for r in rows]
+    footer = [f"f{k} a{k} b{k} c{k}" for k in range(20)]
+    for k in range(24):
+        own = " ".join(f"own{k}x{j}" for j in range(10 + 50 * (k % 2)))
+        rows.append((500 + k, "\n".join([*footer, own]), "en", "s1" if k < 12 else None, 9, "k", "h", 1))
+    return rows
+
+
+def judged(rows):
+    """The counts, kept and the text without lines above the limit of each row."""
+    low_key = lambda line: low(" ".join(WORD.findall(line)))
+    holds = {}
+    for host, text in {(r[3], r[1]) for r in rows}:
+        for key in {low_key(x) for x in (text or "").split("\n")} - {""}:
+            holds.setdefault((host, key), set()).add(text)
+    size = {h: len({r[1] for r in rows if r[3] == h}) for h in {r[3] for r in rows}}
+    above = {(h, k) for (h, k), texts in holds.items() if len(texts) > 10 and len(texts) ** 2 > size[h]}
+    out = []
+    for r in rows:
+        text, words = r[1] or "", WORD.findall(r[1] or "")
+        raw = [x for x in text.split("\n") if WORD.findall(x)]
+        triples = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        again = {p for k, t in enumerate(triples) if triples.count(t) > 1 for p in range(k, k + 3)}
+        bad = len(words) < 50 or 2 * len(again) > len(words)
+        gone = sum(len(WORD.findall(x)) for x in raw if (r[3], low_key(x)) in above)
+        left = "\n".join(x for x in text.split("\n") if (r[3], low_key(x)) not in above)
+        counts = (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(raw) - len(set(raw)), len(again), bad, gone)
+        out.append((r[0], *counts, not bad and gone <= 0.8 * len(words), left))
+    return out
+
+
+def test_quality_apply(spark):
+    rows = shared_corpus()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    expected = [(*r[:1], j[-1], *r[2:4], len(j[-1]) if j[7] else r[4], *r[5:]) for r, j in zip(rows, judged(rows), strict=True) if j[-2]]
+    assert 0 < sum(j[7] > 0 for j in judged(rows) if j[-2]) and any(j[7] and not j[6] and not j[-2] for j in judged(rows))
+    for held in (50_000, 0):
+        got = quality.apply(docs, held=held)
+        assert got.columns == docs.columns
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
 def test_html():
     page = '<html><body><header>top</header><nav><a href="/">home</a></nav><div class="post"><h1>Title</h1><p>One &amp; two<br>three</p><p>a < b <b>bold</b>ly</p><div class="ad">buy</div><ul><li>x</li><li>y</li></ul></div><div class="comments"><p>me too</p></div><footer>end</footer><script>var a="</p>"</script></body>'
     assert html.extract_one(page, None) == ("Title\nOne & two three\na < b boldly\nx\ny", "body>div.post")

@@ -41,7 +41,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: Similarity joins of lines and shingles are beyond SQL on whole tables; tests hold run() against a brute-force version.
+#: Similarity joins of lines and shingles are beyond SQL on whole tables; tests hold run() against the stages one by one; a brute-force version of all five is still missing.
 ORACLE_SQL = None
 
 

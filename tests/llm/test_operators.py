@@ -308,6 +308,14 @@ def test_quality_apply(spark):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
 
 
+def test_quality_rows(spark):
+    """All counts and kept of op7 against plain Python."""
+    rows = shared_corpus()
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(x[:-1]) for x in judged(rows))
+
+
 def test_html():
     page = '<html><body><header>top</header><nav><a href="/">home</a></nav><div class="post"><h1>Title</h1><p>One &amp; two<br>three</p><p>a < b <b>bold</b>ly</p><div class="ad">buy</div><ul><li>x</li><li>y</li></ul></div><div class="comments"><p>me too</p></div><footer>end</footer><script>var a="</p>"</script></body>'
     assert html.extract_one(page, None) == ("Title\nOne & two three\na < b boldly\nx\ny", "body>div.post")

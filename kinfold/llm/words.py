@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are handled at once; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Lower-cases A-Z and leaves other bytes; what is no a-z, digit or part of a character over 0x7F separates.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -63,7 +63,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([raw, np.zeros(8, np.uint8)]), offsets - offsets[0]
 
 
-def split(texts: pa.Array, space: np.ndarray = _SPACE, fold: np.ndarray | None = None) -> Words:
+def split(texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray | None = None) -> Words:
     """Words of each text: runs of bytes outside ``space``, after each byte is mapped by ``fold``."""
     data, offsets = utf8(texts)
     n = int(offsets[-1])

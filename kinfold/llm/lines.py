@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from math import isqrt, log
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .spark import cut, small
+from .spark import cut, fresh, small
 
 THRESHOLD = 0.8
 #: Token counts are kept in this many counters, whatever the vocabulary; tokens that share one only seem less rare.
@@ -20,8 +21,8 @@ COUNTERS, CHUNKS = 1 << 20, 16
 #: A token is 44 bits of its hash, so that (line, token) is one number in batches of up to a million lines.
 _BITS = W.U64(44)
 _TOKEN = (W.U64(1) << _BITS) - W.U64(1)
-#: Lines whose documents are looked up by broadcast at most.
-LOOKED_UP = 200_000
+#: Prefix words are joined in this many parts, one after the other, so that only a part of them is in shuffles at a time.
+PARTS = 2
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,29 +48,29 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.uint32)
-    for batch in W.slices(batches, "text"):
+    total = np.zeros(COUNTERS, np.uint64)
+    for batch in W.slices(batches, "text", 8 << 20):
         token = W.split(batch.column("text")).hash >> W.U64(20)
-        total += np.bincount((token & W.U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        total += np.bincount((token & W.U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint64)
     parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(total, CHUNKS)) if x.any()]
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
 
 
 def _add(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(COUNTERS // CHUNKS, np.uint32)
+    total = np.zeros(COUNTERS // CHUNKS, np.uint64)
     for x in group["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
+        total += np.frombuffer(zlib.decompress(x), np.uint64)
     return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def counters(docs: DataFrame) -> np.ndarray:
-    """Occurrences of the tokens of each counter; summed up in two levels, 4 MB whatever the input."""
+    """Occurrences of the tokens of each counter; summed up in two levels, 8 MB whatever the input."""
     parts = cut(docs.select("text").mapInArrow(_count, "chunk int, counts binary").withColumn("task", F.spark_partition_id()))
     level = F.pmod(F.col("task"), F.lit(max(1, isqrt(parts.rdd.getNumPartitions()))))
     some = parts.groupBy("chunk", level.alias("level")).applyInPandas(_add, "chunk int, counts binary")
-    out = np.zeros(COUNTERS, np.uint32)
+    out = np.zeros(COUNTERS, np.uint64)
     for row in some.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect():
-        out[row["chunk"] * (COUNTERS // CHUNKS) :][: COUNTERS // CHUNKS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+        out[row["chunk"] * (COUNTERS // CHUNKS) :][: COUNTERS // CHUNKS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     return out
 
 
@@ -135,7 +136,7 @@ def _fits(a: str, b: str, threshold: float) -> Column:
 
 
 def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key (hash of the text), n_lines and kept (numbers of the lines to keep, from 0) for each distinct document.
+    """doc_id, key (hash of the text), n_lines and kept (numbers of the lines to keep, from 0) of each row of ``docs``.
 
     A line is removed if an earlier line, of this document or one with a smaller doc_id, has the
     same words or a word set with a Jaccard similarity of at least ``threshold``; whether that
@@ -163,20 +164,25 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         words = lines.select("id", "n", "bitmap", F.posexplode("prefix").alias("place", "word"))
         return words.select("id", (F.shiftleft(F.col("n"), 32) + F.col("place")).alias("packed"), "bitmap", "word")
 
-    words = exploded(firsts)
-    # A row for each word, so that a task can hold its part of them and nothing need be sorted.
-    earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
+    def in_parts(pairs_of: Callable[[Column], DataFrame]) -> DataFrame:
+        """The pairs of each part of the words, made one after the other."""
+        found = [cut(pairs_of(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == k)) for k in range(PARTS)]
+        return reduce(DataFrame.unionAll, found).distinct()
 
-    def first_pairs() -> DataFrame:
+    def first_pairs(part: Column) -> DataFrame:
         """Pairs of a line and the earliest one of a word in its prefix."""
+        words = exploded(firsts).filter(part)
+        # A row for each word, so that a task can hold its part of them and nothing need be sorted.
+        earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
         on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & _fits("a", "b", threshold)
-        return cut(words.alias("a").join(earliest.alias("b"), on).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct())
+        # Without abs() the planner knows that id > other, and fails to carry that over into the union of the parts.
+        return words.alias("a").join(earliest.alias("b"), on).select(F.abs("a.id").alias("id"), F.abs("b.id").alias("other")).distinct()
 
     def size_class(n: Column) -> Column:
         """Sets of n and of up to n / threshold words are in one class or in neighbours."""
         return F.floor(F.log(n.cast("double")) / log(max(threshold**-2, 1.01)))
 
-    def all_pairs(marked: DataFrame) -> DataFrame:
+    def all_pairs(marked: DataFrame, part: Column) -> DataFrame:
         """Pairs of lines of which the later isn't settled; a settled line has -1 - id for its id.
 
         The longer line of a pair shares a word of its prefix with the shorter line's first
@@ -185,7 +191,7 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         """
         n, place = F.shiftright("packed", 32), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
         key = lambda size: F.shiftleft(F.col("word").cast("long"), 16) + size
-        found = exploded(marked)
+        found = exploded(marked).filter(part)
         longer = found.select("id", "packed", "bitmap", key(size_class(n)).alias("key"))
         shorter = found.filter(place <= n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
         sizes = F.sequence(size_class(n), size_class(F.floor(n / threshold + 1e-9)))
@@ -194,25 +200,27 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         size_a, size_b = (F.shiftright(f"{x}.packed", 32) for x in "ab")
         on = (F.col("a.key") == F.col("b.key")) & ((size_a > size_b) | ((size_a == size_b) & (a > b))) & _fits("a", "b", threshold)
         open_ = F.when(a > b, F.col("a.id")).otherwise(F.col("b.id")) >= 0
-        return cut(longer.alias("a").join(shorter.alias("b"), on & open_).select(F.greatest(a, b).alias("id"), F.least(a, b).alias("other")).distinct())
+        return longer.alias("a").join(shorter.alias("b"), on & open_).select(F.greatest(a, b).alias("id"), F.least(a, b).alias("other")).distinct()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Lines of which a pair's similarity is high enough."""
-        ids = pairs.select("id").unionAll(pairs.select(F.col("other").alias("id"))).distinct()
-        asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids, LOOKED_UP), "id", "left_semi"))
-        asked = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
-        found = texts.alias("t").join(small(asked, LOOKED_UP).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key")).select("t.text", "a.asked")
-        sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>"))
+        ids = cut(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct())
+        asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids), "id", "left_semi"))
+        asked = cut(asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked")))
+        found = texts.alias("t").join(small(asked).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key")).select("t.text", "a.asked")
+        # Repeated rows give their lines' sets once each.
+        sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>").dropDuplicates(["id"]))
         a, b = sets.select("id", F.col("tokens").alias("mine")), sets.select(F.col("id").alias("other"), F.col("tokens").alias("others"))
         both = F.size(F.array_intersect("mine", "others"))
         known = pairs.join(a, "id").join(b, "other").withColumn("both", both)
         return cut(known.filter(F.col("both") / (F.size("mine") + F.size("others") - F.col("both")) >= threshold).select("id").distinct())
 
-    settled = similar(first_pairs())
-    marked = firsts.join(small(settled.withColumn("settled", F.lit(True)), LOOKED_UP), "id", "left")
-    rest = similar(all_pairs(marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))))
+    settled = similar(cut(in_parts(first_pairs)))
+    marked = firsts.join(small(settled.withColumn("settled", F.lit(True))), "id", "left")
+    marked = marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))
+    rest = similar(cut(in_parts(lambda part: all_pairs(marked, part))))
     gone = settled.unionAll(rest)
-    kept = firsts.join(small(gone, LOOKED_UP), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
+    kept = firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
     n_lines = texts.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")).cast("long").alias("n_lines"))
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
@@ -223,15 +231,17 @@ def apply(docs: DataFrame, judged: DataFrame, length: str | None = "n_chars") ->
 
     Lines without a word stay where they are. A document that loses all its words is dropped.
     """
-    losing = cut(judged.filter(F.size("kept") < F.col("n_lines")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__key"]))
-    rows = docs.join(small(losing, 10_000), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key")), "left")
-    rows = rows.drop("__id", "__key")
+    of, hashed, left = fresh(docs, "id", "key", "kept")
+    losing = judged.filter(F.size("kept") < F.col("n_lines")).select(F.col("doc_id").alias(of), F.col("key").alias(hashed), F.col("kept").alias(left))
+    losing = cut(losing.dropDuplicates([of, hashed]))
+    rows = docs.join(small(losing), F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & F.xxhash64("text").eqNullSafe(F.col(hashed)), "left")
+    rows = rows.drop(of, hashed)
     names, schema, count = docs.columns, docs.schema, length if length in docs.columns else None
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             texts, stay = [], []
-            for text, kept in zip(batch.column("text").to_pylist(), batch.column("__kept").to_pylist(), strict=True):
+            for text, kept in zip(batch.column("text").to_pylist(), batch.column(left).to_pylist(), strict=True):
                 if kept is not None:
                     numbers = set(kept)
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k in numbers or not x.encode().split())
@@ -244,7 +254,7 @@ def apply(docs: DataFrame, judged: DataFrame, length: str | None = "n_chars") ->
                     column = pa.array(texts, column.type)
                 elif name == count:
                     sizes = [None if t is None else len(t) for t in texts]
-                    column = pa.array([old if k is None else n for old, n, k in zip(column.to_pylist(), sizes, batch.column("__kept").to_pylist(), strict=True)], column.type)
+                    column = pa.array([old if k is None else n for old, n, k in zip(column.to_pylist(), sizes, batch.column(left).to_pylist(), strict=True)], column.type)
                 out.append(column)
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(stay))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .spark import BROADCAST_ROWS, cut, small
+from .spark import cut, fresh, small
 
 #: A line is above its host's limit if more documents hold it than this and than the square root of the host's documents.
 MIN_DOCS = 10
@@ -145,7 +145,7 @@ def _without(text: str, gone: Container[int]) -> tuple[str, int]:
     return ("\n".join(kept), lost) if lost else (text, 0)
 
 
-def apply(docs: DataFrame, host: str = "source", length: str | None = "n_chars", *, min_docs: int = MIN_DOCS, depleted: float = DEPLETED, held: int = BROADCAST_ROWS) -> DataFrame:
+def apply(docs: DataFrame, host: str = "source", length: str | None = "n_chars", *, min_docs: int = MIN_DOCS, depleted: float = DEPLETED, held: int = 50_000) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns and without the lines above their host's limit.
 
     A column ``length`` gets the new number of characters of a text that loses lines. Base rules
@@ -157,7 +157,8 @@ def apply(docs: DataFrame, host: str = "source", length: str | None = "n_chars",
     keys = docs.select(hosts.alias("host"), content.alias("content"), "text").mapInArrow(_keys, "host string, content long, lines array<long>")
     facts = cut(keys.withColumn("at", F.monotonically_increasing_id()))
     above = _above(facts, min_docs)
-    rows, by_host = docs.withColumn("__host", hosts), None
+    of, keyed, lost_lines, hosted = fresh(docs, "of", "content", "gone", "host")
+    rows, by_host = docs.withColumn(hosted, hosts), None
     if above.limit(held + 1).count() <= held:
         lists: dict[str | None, set[int]] = {}
         for r in above.collect():
@@ -165,9 +166,9 @@ def apply(docs: DataFrame, host: str = "source", length: str | None = "n_chars",
         by_host = docs.sparkSession.sparkContext.broadcast(lists)
     else:
         once = facts.dropDuplicates(["host", "content"]).select("host", "content", F.explode("lines").alias("line"))
-        gone = once.alias("f").join(above.alias("a"), F.expr("f.host <=> a.host AND f.line = a.line")).groupBy("f.host", "f.content").agg(F.collect_list("f.line").alias("__gone"))
-        gone = gone.select(F.col("host").alias("__of"), F.col("content").alias("__content"), "__gone")
-        rows = rows.join(gone, F.col("__host").eqNullSafe(F.col("__of")) & (content == F.col("__content")), "left").drop("__of", "__content")
+        gone = once.alias("f").join(above.alias("a"), F.expr("f.host <=> a.host AND f.line = a.line")).groupBy("f.host", "f.content").agg(F.collect_list("f.line").alias(lost_lines))
+        gone = gone.select(F.col("host").alias(of), F.col("content").alias(keyed), lost_lines)
+        rows = rows.join(gone, F.col(hosted).eqNullSafe(F.col(of)) & (content == F.col(keyed)), "left").drop(of, keyed)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -175,9 +176,9 @@ def apply(docs: DataFrame, host: str = "source", length: str | None = "n_chars",
             ok = ~failed(found["n_words"], found["n_repeat_words"])
             batch, n_words = batch.filter(pa.array(ok)), found["n_words"][ok]
             if by_host is None:
-                gone = batch.column("__gone").to_pylist()
+                gone = batch.column(lost_lines).to_pylist()
             else:
-                gone = [by_host.value.get(h) for h in batch.column("__host").to_pylist()]
+                gone = [by_host.value.get(h) for h in batch.column(hosted).to_pylist()]
             old = batch.column("text").to_pylist()
             new = [_without(t, g) if g else (t, 0) for t, g in zip(old, gone, strict=True)]
             out = []

@@ -2,40 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Largest table, in rows of a few dozen bytes, that an operator broadcasts.
-BROADCAST_ROWS = 50_000
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is used only where
-    the session names none, as in tests on one machine.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    out = df.checkpoint()
-    # What was shuffled to make it is needed no more; Spark deletes it once the driver's garbage is collected.
-    # The executed plan of df refers to it, so that df must go first.
-    del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
-    return out
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
-
-    ``df`` should be cheap to count: a checkpointed table or a small aggregate.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+from ..sources.store import cut, fresh, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +16,7 @@ def without(docs: DataFrame, gone: DataFrame, **columns: Column) -> DataFrame:
 
     ``gone`` is materialised, and broadcast if it is small; the columns of ``docs`` may have any names.
     """
-    keys = cut(gone.select([F.col(c).alias(f"__gone_{c}") for c in columns]).distinct())
-    same = [value.eqNullSafe(F.col(f"__gone_{c}")) for c, value in columns.items()]
+    names = dict(zip(columns, fresh(docs, *columns), strict=True))
+    keys = cut(gone.select([F.col(c).alias(n) for c, n in names.items()]).distinct())
+    same = [value.eqNullSafe(F.col(names[c])) for c, value in columns.items()]
     return docs.join(small(keys), same, "left_anti")

@@ -18,8 +18,8 @@ from .spark import cut, small
 WINDOW, GRAM = 50, 8
 #: Pieces of text in a shard, and of one anchor beyond which its pieces are trimmed first.
 SHARD, CROWD = 4_000, 500
-#: Documents with shared anchors (a few hundred bytes each) that are looked up by broadcast at most.
-LOOKED_UP = 100_000
+#: Pieces of one class beyond which its facts are broadcast, so that no task gets them all; there are few such classes.
+HOT = 10_000
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +59,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), sums, lists], names=["doc_id", "key", "n_words", "d1", "d2", "sha256", "anchors"])
 
 
-_PIECE = "anchor long, g1 long, g2 long, row long, doc_id long, first int, place int, words binary"
+_PIECE = "anchor long, g1 long, g2 long, key long, doc_id long, first int, place int, words binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,17 +68,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = W.split(batch.column("text"))
         ends = found.first
         out: list[tuple] = []
-        for r, (row, doc, shared) in enumerate(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("shared"), strict=True)):
+        for r, (key, doc, shared) in enumerate(zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("shared"), strict=True)):
             hashes = found.hash[ends[r] : ends[r + 1]]
             place, first, last = anchors(hashes)
             gram = W.windows(hashes, GRAM)[place].view(np.int64) if len(place) else np.zeros(0, np.int64)
             for p in np.flatnonzero(np.isin(gram, np.asarray(shared.values))).tolist():
                 words = hashes[first[p] : last[p] + WINDOW].tobytes()
                 mark = hashlib.blake2b(words, digest_size=16, salt=int(place[p] - first[p]).to_bytes(2, "little")).digest()
-                out.append((int(gram[p]), int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True), row, doc, int(first[p]), int(place[p] - first[p]), words))
+                out.append((int(gram[p]), int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True), key, doc, int(first[p]), int(place[p] - first[p]), words))
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
         types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "g1", "g2", "row", "doc_id", "first", "place", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "g1", "g2", "key", "doc_id", "first", "place", "words"])
 
 
 def _runs(at: np.ndarray) -> list[dict]:
@@ -169,31 +169,43 @@ def _in_crowds(pieces: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts of each row; texts (row, text) of those with shared anchors; runs of repeated windows by row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    read = cut(texts.mapInArrow(_read, "doc_id long, key long, n_words long, d1 long, d2 long, sha256 binary, anchors array<long>").withColumn("id", id_).withColumn("row", F.monotonically_increasing_id()))
-    copies = read.filter(F.col("n_words") >= WINDOW).groupBy("d1", "d2").agg(F.min("id").alias("least"))
-    facts = read.drop("anchors").join(copies, ["d1", "d2"], "left").withColumn("whole", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
+    """Facts of each row; texts (doc_id, key, text) of those with shared anchors; runs of repeated windows by doc_id and key.
+
+    In the latter two a null doc_id is the smallest number, and rows with one id and one text may be repeated.
+    """
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_.alias("id"), F.xxhash64("text").alias("key"), "text")
+    read = texts.drop("id").mapInArrow(_read, "doc_id long, key long, n_words long, d1 long, d2 long, sha256 binary, anchors array<long>")
+    read = cut(read.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("row", F.monotonically_increasing_id()))
+    copies = read.filter(F.col("n_words") >= WINDOW).groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    facts = read.drop("anchors").join(small(cut(copies)), ["d1", "d2"], "left").withColumn("whole", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
     facts = cut(facts.select("row", "doc_id", "key", "id", "n_words", "sha256", "whole"))
-    held = read.join(facts.filter("whole").select("row"), "row", "left_anti").select("row", "id", F.explode("anchors").alias("anchor"))
+    held = read.join(facts.filter("whole").select("row"), "row", "left_anti").select("id", "key", F.explode("anchors").alias("anchor"))
     shared = held.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor")
-    asked = held.join(shared, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("shared"))
-    asked = cut(asked.join(facts.select("row", "doc_id", "id", "key"), "row"))
-    found = texts.alias("t").join(small(asked, LOOKED_UP).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key"))
-    found = cut(found.select("a.row", F.col("a.id").alias("doc_id"), "a.shared", "t.text"))
+    # A set, as repeated rows bring their anchors once each.
+    asked = cut(held.join(shared, "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("shared")))
+    found = texts.select("id", "key", "text").join(small(asked), ["id", "key"])
+    found = cut(found.select(F.col("id").alias("doc_id"), "key", "shared", "text"))
     pieces = cut(found.mapInArrow(_pieces, _PIECE))
-    classes = cut(pieces.groupBy("anchor", "g1", "g2").agg(F.min("doc_id").alias("doc_id"), F.first("place").alias("place"), F.first("words").alias("words")))
+    classes = cut(pieces.groupBy("anchor", "g1", "g2").agg(F.min("doc_id").alias("doc_id"), F.first("place").alias("place"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n")))
     crowded = cut(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("anchor"))
     usual = _matches(classes.join(small(crowded), "anchor", "left_anti"))
     crowds = _in_crowds(classes.join(small(crowded), "anchor", "left_semi"))
     hits = usual.unionAll(crowds).filter(F.size("hits") > 0)
     # A piece that a smaller document has too is found there as a whole.
-    known = classes.select("anchor", "g1", "g2", F.col("doc_id").alias("least"), F.octet_length("words").alias("bytes")).join(hits, ["anchor", "g1", "g2"], "left")
-    known = pieces.drop("words", "place").join(known, ["anchor", "g1", "g2"])
+    known = classes.select("anchor", "g1", "g2", "n", F.col("doc_id").alias("least"), F.octet_length("words").alias("bytes")).join(hits, ["anchor", "g1", "g2"], "left")
+    known = cut(known.filter("n > 1 OR hits IS NOT NULL"))
+    places = pieces.drop("words", "place")
+    hot = known.filter(F.col("n") > HOT).drop("n")
+    if hot.limit(1).count():
+        hot = cut(hot)
+        rest = places.join(small(hot.select("anchor", "g1", "g2")), ["anchor", "g1", "g2"], "left_anti")
+        named = places.join(small(hot), ["anchor", "g1", "g2"]).unionByName(rest.join(known.filter(F.col("n") <= HOT).drop("n"), ["anchor", "g1", "g2"]))
+    else:
+        named = places.join(known.drop("n"), ["anchor", "g1", "g2"])
     runs = F.when(F.col("doc_id") > F.col("least"), _every(F.col("bytes"))).otherwise(F.col("hits"))
-    runs = known.select("row", F.explode(_moved(runs, F.col("first"))).alias("run")).groupBy("row").agg(F.array_sort(F.collect_set("run")).alias("runs"))
-    return facts, found.select("row", "text"), runs
+    runs = named.select("doc_id", "key", F.explode(_moved(runs, F.col("first"))).alias("run")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    return facts, found.select("doc_id", "key", "text"), runs
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -210,7 +222,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     moves. Copies of a text are one text; equal pieces are one piece, of the smallest document.
     """
     facts, _, runs = _found(docs)
-    return facts.join(runs, "row", "left").select("doc_id", "key", "n_words", "whole", F.coalesce("runs", F.array().cast(_HITS)).alias("runs"))
+    runs = runs.withColumnRenamed("doc_id", "id")
+    runs = facts.join(runs, ["id", "key"], "left").select("doc_id", "key", "n_words", "whole", F.when(~F.col("whole"), F.col("runs")).alias("runs"))
+    return runs.withColumn("runs", F.coalesce("runs", F.array().cast(_HITS)))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +239,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed = np.cumsum(change[:-1]) > 0
             digest.append(hashlib.sha256(b" ".join([p for p, x in zip(parts, removed.tolist(), strict=True) if not x])).digest())
             gone.append(int(removed.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(gone, pa.int64()), pa.array(digest, pa.binary())], names=["row", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(gone, pa.int64()), pa.array(digest, pa.binary())], names=["id", "key", "n_removed", "kept"])
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -237,8 +251,8 @@ def removed(docs: DataFrame) -> DataFrame:
     where a part of them is removed.
     """
     facts, texts, runs = _found(docs)
-    parts = texts.join(runs, "row").mapInArrow(_kept, "row long, n_removed long, kept binary").dropDuplicates(["row"])
+    parts = texts.join(runs, ["doc_id", "key"]).mapInArrow(_kept, "id long, key long, n_removed long, kept binary").dropDuplicates(["id", "key"])
     nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
     n = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     digest = F.when(F.col("whole"), nothing).otherwise(F.coalesce("kept", "sha256"))
-    return facts.join(parts, "row", "left").select("doc_id", "n_words", n.cast("long").alias("n_removed"), F.lower(F.hex(digest)).alias("kept_sha256"))
+    return facts.join(parts, ["id", "key"], "left").select("doc_id", "n_words", n.cast("long").alias("n_removed"), F.lower(F.hex(digest)).alias("kept_sha256"))

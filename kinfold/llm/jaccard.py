@@ -20,10 +20,13 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 #: MinHash values compared at a time; probability under which a pair is dropped.
 STEP, TOLERANCE = 28, 1e-9
-#: Documents in a block of a cluster; a task compares two blocks.
-BLOCK = 384
+#: Words of the texts in a block of a cluster; a task compares two blocks.
+BLOCK_WORDS = 400_000
+#: Clusters of more blocks than this are split by bands of more rows: at 0.8 all of them miss a pair as rarely as those
+#: above, but documents with a similarity of 0.4 share one once in 80 times, not in 6.
+SPLIT_BLOCKS, FINE_BANDS, FINE_ROWS = 4, 112, 10
 
-_A = np.array([(x | 1) for x in np.random.default_rng(20240607).integers(0, 1 << 63, BANDS * ROWS, np.int64)], W.U64)
+_A, _FINE = (np.array([(x | 1) for x in np.random.default_rng(seed).integers(0, 1 << 63, n, np.int64)], W.U64) for seed, n in ((20240607, BANDS * ROWS), (20240608, FINE_BANDS * FINE_ROWS)))
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -114,27 +117,44 @@ def digests(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def bands(found: W.Words, factors: np.ndarray, rows: int) -> pa.ListArray:
+    """The MinHash bands, of ``rows`` values each, of every text that has a shingle."""
+    first = found.first
+    n = np.diff(first)
+    grams = W.windows(found.hash, SHINGLE)
+    long = np.flatnonzero(n >= SHINGLE)
+    keys = np.zeros((len(long), len(factors) // rows), W.U64)
+    if len(long):
+        at = np.stack([first[long], first[long] + n[long] - SHINGLE + 1], axis=1).ravel()  # reduceat takes every other run
+        padded = np.concatenate([grams, grams[-1:]])
+        for band in range(keys.shape[1]):
+            key = np.full(len(long), band + 1, W.U64)
+            for a in factors[band * rows : (band + 1) * rows]:
+                key = W.mix(key ^ (np.minimum.reduceat(padded * a, at)[::2] >> W.U64(32)))
+            keys[:, band] = key
+    sizes = np.zeros(len(n), np.int64)
+    sizes[long] = keys.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in W.slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column("row"), bands(W.split(batch.column("text")), _FINE, FINE_ROWS)], names=["row", "bands"])
+
+
+def _clusters(banded: DataFrame) -> DataFrame:
+    """(node, root) of the rows that a chain of shared bands joins, of rows (row, band)."""
+    shared = banded.groupBy("band").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
+    return cut(components(banded.join(shared, "band").select(F.col("row").alias("a"), F.col("least").alias("b"))))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.slices(batches, "text", 4 << 20):
+    for batch in W.slices(batches, "text"):
         found = W.split(batch.column("text"))
         first = found.first
         n = np.diff(first)
         d1, d2 = digests(found)
-        grams = W.windows(found.hash, SHINGLE)
-        long = np.flatnonzero(n >= SHINGLE)
-        keys = np.zeros((len(long), BANDS), W.U64)
-        if len(long):
-            at = np.stack([first[long], first[long] + n[long] - SHINGLE + 1], axis=1).ravel()  # reduceat takes every other run
-            padded = np.concatenate([grams, grams[-1:]])
-            for band in range(BANDS):
-                key = np.full(len(long), band + 1, W.U64)
-                for a in _A[band * ROWS : (band + 1) * ROWS]:
-                    key = W.mix(key ^ (np.minimum.reduceat(padded * a, at)[::2] >> W.U64(32)))
-                keys[:, band] = key
-        sizes = np.zeros(len(n), np.int64)
-        sizes[long] = BANDS
-        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(d1), pa.array(d2), bands], schema=_PROFILE)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(d1), pa.array(d2), bands(found, _A, ROWS)], schema=_PROFILE)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +198,8 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     join, and stays marks one row of each class, the one with the least doc_id.
 
     Texts with the same words are one representative with a weight. Representatives that share a
-    MinHash band form clusters, found by components over (row, least row of the band). A task gets
+    MinHash band form clusters, found by components over (row, least row of the band); a large
+    cluster, which chains of unlike documents may have joined, is split by stricter bands. A task gets
     two blocks of a cluster, compares the MinHash values of their pairs step by step, drops pairs
     whose posterior probability of reaching the threshold is below ``tolerance``, verifies the rest
     exactly, and returns each row's number of links and its least linked row: never the pairs.
@@ -190,27 +211,48 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     profile = cut(texts.mapInArrow(_profile, "doc_id long, key long, n_words long, d1 long, d2 long, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
     copies = cut(profile.filter("n_words > 0").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("weight")))
-    banded = profile.join(copies.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
-    clusters = cut(components(banded.join(shared, "band").select(F.col("row").alias("a"), F.col("least").alias("b"))))
-    size = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    member = clusters.join(size, "root").select(F.col("node").alias("row"), F.col("root").alias("cluster"), "n")
-    wanted = cut(member.join(profile.select("row", "doc_id", "key"), "row").join(copies.select("row", "weight"), "row"))
-    found = texts.alias("t").join(small(wanted).alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.key = w.key")).select("w.row", "w.cluster", "w.n", "w.weight", "t.text")
-    sets = found.mapInArrow(_sets, "row long, cluster long, n int, weight long, set binary")
+    facts = profile.select("row", "doc_id", "key", "n_words")
+
+    def read(wanted: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` and text of the rows wanted (with doc_id, key)."""
+        found = texts.alias("t").join(small(wanted).alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.key = w.key"))
+        # Of rows with one id and one text only one is wanted, but all of them are found.
+        return found.select(*[f"w.{c}" for c in columns], "t.text")
+
+    def sized(clusters: DataFrame) -> DataFrame:
+        """(row, cluster, n: its number of blocks, doc_id, key)"""
+        member = cut(clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(facts, "row"))
+        size = member.groupBy("cluster").agg(F.ceil(F.sum("n_words") / BLOCK_WORDS).cast("int").alias("n"))
+        return cut(member.join(small(cut(size)), "cluster").select("row", "cluster", "n", "doc_id", "key"))
+
+    member = sized(_clusters(profile.join(copies.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band"))))
+    large = member.filter(F.col("n") > SPLIT_BLOCKS)
+    if large.limit(1).count():
+        fine = cut(read(cut(large), "row").mapInArrow(_fine, "row long, bands array<long>"))
+        fine = sized(_clusters(fine.select("row", F.explode("bands").alias("band")).distinct()))
+        member = member.filter(F.col("n") <= SPLIT_BLOCKS).unionAll(fine)
+    wanted = cut(member.join(copies.select("row", "weight"), "row"))
+    sets = read(wanted, "row", "cluster", "n", "weight").mapInArrow(_sets, "row long, cluster long, n int, weight long, set binary")
     block = F.pmod(F.xxhash64("row"), F.col("n")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     compared = cut(dealt.groupBy("cluster", "low", "high").applyInPandas(_compare(threshold, tolerance), "row long, links long, peer long"))
-    links = compared.groupBy("row").agg(F.sum("links").alias("links"))
+    links = compared.groupBy("row").agg(F.sum("links").alias("links")).filter("links > 0")
     roots = components(compared.filter("row <> peer").select(F.col("row").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "row")
-    known = cut(copies.join(links, "row", "left").join(roots, "row", "left").select("d1", "d2", F.coalesce("root", "row").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    rows = profile.drop("bands").join(known, ["d1", "d2"], "left").withColumn("root", F.when(F.col("n_words") > 0, F.col("root")).otherwise(-1 - F.col("row")))
-    rows = cut(rows.select("doc_id", "key", "row", "n_words", "root", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    linked = cut(links.join(roots, "row", "left"))
+    # Only rows with copies or links need be told of them.
+    known = copies.join(small(linked), "row", "left").filter("weight > 1 OR links IS NOT NULL")
+    known = cut(known.select("d1", "d2", F.coalesce("root", "row").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    rows = cut(profile.drop("bands").join(small(known), ["d1", "d2"], "left").drop("d1", "d2"))
     # The least id of a class, then the least row with it: two sums of fixed size rather than a struct's minimum.
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = rows.join(least, "root")
-    stays = named.filter("doc_id <=> class_id").groupBy("root").agg(F.min("row").alias("first"))
-    return named.join(stays, "root").select("doc_id", "key", "row", "n_words", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("row") == F.col("first")).alias("stays"))
+    joined = rows.filter("root IS NOT NULL").select("row", "doc_id", "root")
+    least = cut(joined.groupBy("root").agg(F.min("doc_id").alias("class_id")))
+    first = joined.join(small(least), "root").filter("doc_id <=> class_id").groupBy("root").agg(F.min("row").alias("first"))
+    named = cut(least.join(first, "root"))
+    alone = F.col("root").isNull()
+    return rows.join(small(named), "root", "left").select(
+        "doc_id", "key", "row", "n_words", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("row") == F.col("first"))).alias("stays"),
+    )
 
 
 def keep(docs: DataFrame) -> DataFrame:

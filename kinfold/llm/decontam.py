@@ -7,13 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
 from .spark import cut, without
 
-#: Bytes of text in a segment of the index, and words of test items that are searched for at once.
-SEGMENT_BYTES, BLOCK_WORDS = 4 << 20, 1 << 20
+#: Bytes of text in a segment of the index, and of test items that are searched for at once.
+SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
 WINDOW = 10
 
 _INDEX = pa.schema([("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
@@ -125,19 +126,23 @@ def _phrases(texts: list[str], size: int) -> dict[int, tuple[np.ndarray, np.ndar
     return {n: (np.concatenate([r for r, _ in x]), np.concatenate([i for _, i in x])) for n, x in by.items()}
 
 
-def _searcher(texts: list[str], size: int, slop: int) -> Callable:
+_HITS = pa.schema([("segment", pa.int64()), ("place", pa.int64()), ("item_id", pa.int64()), ("first", pa.int64()), ("past", pa.int64())])
+
+
+def _searcher(items: Broadcast, size: int, slop: int) -> Callable:
+    """Searches segments for ``items``, a pair of ids and texts."""
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = _phrases(texts, size)
+        ids, texts = items.value
+        phrases, ids = _phrases(texts, size), pa.array(ids, pa.int64())
         for batch in batches:
             for row in batch.to_pylist():
                 held = _Segment(row)
-                for rows, items in phrases.values():
+                for rows, of in phrases.values():
                     which, first, last = held.search(rows, slop)
                     doc = np.searchsorted(held.begin, first, "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(doc), row["segment"])), pa.array(doc), pa.array(items[which]), pa.array(first - held.begin[doc]), pa.array(last - held.begin[doc] + 1)],
-                        names=["segment", "place", "item", "first", "past"],
-                    )
+                    columns = [pa.array(np.full(len(doc), row["segment"])), pa.array(doc), ids.take(pa.array(of[which])), pa.array(first - held.begin[doc]), pa.array(last - held.begin[doc] + 1)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_HITS)
 
     return searched
 
@@ -147,22 +152,19 @@ def search(built: DataFrame, items: DataFrame, *, size: int = WINDOW, slop: int
 
     A window is ``size`` consecutive words of an item (all of them if it has fewer); an occurrence
     covers words ``first`` to ``past`` - 1 of its document. With ``slop`` the words may stand that
-    much further apart. Items are searched for in blocks of at most ``BLOCK_WORDS`` words or a
-    single item, so what a task or the driver holds doesn't grow with the number of items.
+    much further apart. The items are the query set, which each segment answers in one pass for
+    ``BLOCK_BYTES`` of their texts: a block is dealt by hash and sent to the tasks once, so that
+    what a task or the driver holds doesn't grow with the number of items.
     """
-    size_of = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    spark, asked = items.sparkSession, items.select(F.col("item_id").cast("long").alias("item_id"), "text", size_of.alias("n"))
-    asked = cut(asked.filter("n > 0"))
-    # Blocks by running length over items in id order; the running sum is taken over ranges first.
-    ranges = asked.withColumn("range", F.spark_partition_id()).withColumn("so_far", F.sum("n").over(Window.partitionBy("range").orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)))
-    blocks = cut(ranges.withColumn("block", F.floor(F.coalesce("so_far", F.lit(0)) / BLOCK_WORDS)))
+    asked = cut(items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text <> ''"))
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
     found = []
-    for block in blocks.select("range", "block").distinct().toLocalIterator():
-        rows = blocks.filter((F.col("range") == block["range"]) & (F.col("block") == block["block"])).select("item_id", "text").collect()
-        ids = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(rows)], "item long, item_id long")
-        hits = built.mapInArrow(_searcher([r["text"] for r in rows], size, slop), "segment long, place long, item long, first long, past long")
-        found.append(hits.join(F.broadcast(ids), "item").select("segment", "place", "item_id", "first", "past"))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "segment long, place long, item_id long, first long, past long")
+    for k in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        block = items.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        found.append(built.mapInArrow(_searcher(block, size, slop), "segment long, place long, item_id long, first long, past long"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def judge(docs: DataFrame, items: DataFrame, *, size: int = WINDOW) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .spark import cut
+from .spark import cut, small
 
-#: Rows of one size in one source are ranked in this many parts, so that no task gets them all.
-PARTS = 64
+#: Rows of one size in one source are dealt to parts of about so many, so that no task ranks them all.
+PART_ROWS = 100_000
 
 
 def size(text: Column) -> Column:
@@ -50,6 +50,12 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def dealt(doc_id: Column, text: Column) -> Column:
+    """A number that a row's id and text determine, by which it is dealt to a part."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -60,14 +66,22 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     is taken more than ``ceil(most)`` times.
 
     The order's prefix sums come in two levels: counts of (source, size, part) are summed by
-    source, and rows are ranked inside such a part only, so a hot source or size is spread out.
+    source, and rows are ranked inside such a part only. A size that more rows of a source have than
+    ``PART_ROWS`` has several parts, dealt by id and text, so a hot source or size is spread out.
     Null texts have size 0; a null source is a source; a null doc_id is ranked first; repeated rows
     are ranked one after the other, so the mix as a whole is the same in each run. An empty table
     gives an empty result. Other columns are dropped. Documents of size 0 are ranked as others but
     take 0 words.
     """
-    rows = cut(docs.select("doc_id", "source", size(F.col("text")).alias("size")))
-    rows = rows.withColumn("part", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PARTS)))
+
+    def same(left: str, right: str, *names: str) -> Column:
+        return F.expr(" AND ".join(f"{left}.{n} <=> {right}.{n}" for n in names))
+
+    rows = cut(docs.select("doc_id", "source", size(F.col("text")).alias("size"), dealt(F.col("doc_id"), F.col("text")).alias("deal")))
+    # Groups of more rows than a part holds; there are few of them, whatever the input.
+    many = rows.groupBy("source", "size").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("n")).filter("n > 1")
+    rows = rows.alias("r").join(small(cut(many)).alias("m"), same("r", "m", "source", "size"), "left")
+    rows = rows.select("r.doc_id", "r.source", "r.size", F.pmod("deal", F.coalesce("n", F.lit(1))).alias("part"))
     parts = cut(rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")))
     sources = targets(parts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     # Sums over sizes first: a source has far fewer sizes than documents.
@@ -77,9 +91,6 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     inside = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "size", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("lower"))
 
-    def same(left: str, right: str, *names: str) -> Column:
-        return F.expr(" AND ".join(f"{left}.{n} <=> {right}.{n}" for n in names))
-
     marks = (
         parts.alias("p")
         .join(by_size.alias("s"), same("p", "s", "source", "size"))
@@ -104,7 +115,10 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
 #: The rows of op3 in DuckDB: the same order and offsets, with ranks taken in one pass.
 SQL = r"""
 WITH rows_ AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT AS deal FROM documents
+), parted AS (
+  SELECT *, deal % ceil(count(*) OVER (PARTITION BY source, size) / 100000.0::DOUBLE)::BIGINT AS part FROM rows_
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source
 ), weighted AS (
@@ -121,8 +135,8 @@ WITH rows_ AS (
   SELECT r.doc_id, r.source, r.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS step,
     ('0x' || substr(md5('7:' || coalesce(r.source, '')), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u,
-    row_number() OVER (PARTITION BY r.source ORDER BY r.size, ((coalesce(r.doc_id, 0) % 64) + 64) % 64, r.doc_id ASC NULLS FIRST) AS place
-  FROM rows_ r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+    row_number() OVER (PARTITION BY r.source ORDER BY r.size, r.part, r.doc_id ASC NULLS FIRST) AS place
+  FROM parted r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
   ((floor(u + place * step) - floor(u + (place - 1) * step))::BIGINT * size)::BIGINT AS taken FROM ranked

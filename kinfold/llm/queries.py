@@ -35,7 +35,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = urls.judge(urls.captured(table(spark, sf_dir, "pages")), urls.example_entries(spark))
+    pages = table(spark, sf_dir, "pages")
+    found = urls.judge(urls.captured(pages), urls.example_entries(pages))
     return found.select("page_id", "url", "fetched_at", "host", "lists", "blocked")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -17,13 +19,15 @@ from .urls import host
 #: A path that wins this share of its host's pages is one of the host's winners.
 SHARE = 0.1
 
-# Element kinds of HTML, and words in class, id or role that name what is no main text.
+# Element kinds of HTML, and names in class, id or role of what is no main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
-DROPPED = frozenset("aside button canvas dialog footer form head header iframe input label menu nav noscript object script select style svg template textarea title".split())
+DROPPED = frozenset("aside button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo promoted promotion promotions recommended related replies reply search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Words that go with those in a name, such as site-footer or comment-list; with any other word a name is no noise.
+BESIDE = frozenset("a area article articles b bar block body bottom box btn button center col column container content de en floating fr global group holder inner items l left links list lower main mobile module outer page panel policy post posts primary r region right row rows secondary section sidebar site slot sticky story strip tags text thread title top unit upper user view wrap wrapper zone".split())
 #: A start tag on the left ends an open element on the right, up to a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -32,29 +36,100 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
-@dataclass
+_WORDS = re.compile(r"[a-z]+")
+
+
+def is_noise(names: str) -> bool:
+    """Whether one of the names says by all its words that what it names is no main text."""
+    for name in names.split():
+        words = _WORDS.findall(name)
+        if words and not NOISE.isdisjoint(words) and all(w in NOISE or w in BESIDE for w in words):
+            return True
+    return False
+
+
+def step(path: int, name: str) -> int:
+    """Number of the path that goes one container on from that of a number."""
+    return int.from_bytes(blake2b(f"{path}>{name}".encode(), digest_size=8).digest(), "little")
+
+
+@dataclass(slots=True)
 class Node:
+    """A container, or an element that is left out."""
+
     tag: str
-    path: str
+    name: str
+    path: int
     parent: int
-    noise: bool
+    noise: int  # 0: main text, 1: left out unless it holds most of the page, 2: left out
     text: int = 0  # characters outside links, here and below
     lead: int = 0  # paragraphs and headings, here and below
+    inner: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str, int, bool]] = field(default_factory=list)  # node, text, characters outside links, paragraph or heading
+
+    def path(self, k: int) -> str:
+        """Tags and classes from the body to a container; written out for one container, as it grows with its depth."""
+        names = []
+        while k >= 0:
+            if not self.nodes[k].noise:
+                names.append(self.nodes[k].name)
+            k = self.nodes[k].parent
+        return ">".join(reversed(names))
+
+
+def numbered(path: str) -> int:
+    first, *rest = path.split(">")
+    number = step(0, first)
+    for name in rest:
+        number = step(number, name)
+    return number
+
+
+def _settle(page: Page) -> Page:
+    """Decide what is left out, and sum up the texts of containers."""
+    nodes = page.nodes
+    size = [0] * len(nodes)
+    for k, text, _, _ in page.blocks:
+        size[k] += len(text)
+    total = 0
+    hard = [x.noise == 2 for x in nodes]
+    for k, x in enumerate(nodes):
+        hard[k] |= x.parent >= 0 and hard[x.parent]
+        total += 0 if hard[k] else size[k]
+    for k in range(len(nodes) - 1, 0, -1):
+        if not hard[k]:
+            size[nodes[k].parent] += size[k]
+    for k, x in enumerate(nodes):
+        if x.noise == 1 and not hard[k] and 2 * size[k] > total:
+            x.noise = 0
+        if x.parent >= 0:
+            x.noise = max(x.noise, nodes[x.parent].noise)
+            x.path = step(nodes[x.parent].path, x.name)
+            nodes[x.parent].inner.append(k)
+    for k, text, plain, lead in page.blocks:
+        if not nodes[k].noise and 2 * plain >= len(text):
+            nodes[k].text += plain
+            nodes[k].lead += lead
+    for k in range(len(nodes) - 1, 0, -1):
+        if not nodes[k].noise:
+            nodes[nodes[k].parent].text += nodes[k].text
+            nodes[nodes[k].parent].lead += nodes[k].lead
+    return page
 
 
 def parse(html: str) -> Page:
-    """Containers with their generalised paths, and the text blocks that aren't noise, in page order."""
-    page = Page([Node("body", "body", -1, False)])
+    """Containers with their generalised paths, and the text blocks in page order, in time and memory that grow with the page."""
+    page = Page([Node("body", "body", step(0, "body"), -1, 0)])
     nodes = page.nodes
-    stack: list[tuple[str, int, bool]] = []  # tag, container, inside noise
+    stack: list[tuple[str, int]] = []  # tag, node
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
     kind = ""
 
     def flush() -> None:
@@ -62,26 +137,20 @@ def parse(html: str) -> Page:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            k = stack[-1][1] if stack else 0
-            page.blocks.append((k, text))
-            if 2 * linked <= len(text):
-                while k >= 0:
-                    nodes[k].text += len(text) - linked
-                    nodes[k].lead += kind in ("p", "h1", "h2", "h3")
-                    k = nodes[k].parent
+            page.blocks.append((stack[-1][1] if stack else 0, text, max(len(text) - linked, 0), kind in ("p", "h1", "h2", "h3")))
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not (stack and stack[-1][2]):
+        if text and nodes[stack[-1][1] if stack else 0].noise < 2:
             text = unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text.strip())
 
     def shut(k: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[k:])
+        for x in stack[k:]:
+            opened[x[0]] -= 1
         del stack[k:]
 
     while at < len(html):
@@ -101,9 +170,8 @@ def parse(html: str) -> Page:
         elif tag == "br":
             parts.append(" ")
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                shut(k)
+            if opened[tag]:
+                shut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in ("html", "body", "thead", "tbody") or tag in VOID:
             continue
@@ -113,68 +181,77 @@ def parse(html: str) -> Page:
             continue
         if rest.endswith("/") and tag not in BLOCKS:
             continue
-        ends = {"p"} if tag in BLOCKS else set()
-        ends |= ENDS.get(tag, set())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                shut(k)
-            elif stack[k][0] in ("article", "body", "div", "main", "ol", "section", "table", "ul"):
-                break
+        ends = ({"p"} if tag in BLOCKS else set()) | ENDS.get(tag, set())
+        if any(opened[x] for x in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ends:
+                    shut(k)
+                elif stack[k][0] in ("article", "body", "div", "main", "ol", "section", "table", "ul"):
+                    break
         found = {a.lower(): (b or c or d).lower() for a, b, c, d in _NAMES.findall(rest)} if "=" in rest else {}
-        noise = bool(stack and stack[-1][2]) or tag in DROPPED or bool(_HIDDEN.search(rest)) or any(not NOISE.isdisjoint(re.split(r"[^a-z]+", v)) for v in found.values())
         over = stack[-1][1] if stack else 0
-        if tag in CONTAINERS:
-            name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").split()} - {""})])
-            nodes.append(Node(tag, f"{nodes[over].path}>{name}", over, noise))
+        noise = int(any(map(is_noise, found.values())))
+        # What stands inside a line is left out whole, so that the words around it stay together.
+        if noise and tag not in BLOCKS or tag in DROPPED or tag == "header" and not (opened["article"] or opened["main"]) or _HIDDEN.search(rest):
+            noise = 2
+        if tag in CONTAINERS or noise:
+            name = ".".join([tag, *sorted({re.sub(r"[\d>]+", "", c) for c in found.get("class", "").split()} - {""})])
+            nodes.append(Node(tag, name, 0, over, max(noise, 2 * (nodes[over].noise == 2))))
             over = len(nodes) - 1
-        if tag == "a":
-            links += 1
-        stack.append((tag, over, noise))
+        stack.append((tag, over))
+        opened[tag] += 1
     flush()
-    return page
+    return _settle(page)
 
 
-def best(page: Page) -> str:
-    """Path of the smallest container that holds all paragraphs and headings and nearly all text.
+def best(page: Page) -> int:
+    """The smallest container that holds all paragraphs and headings and nearly all text.
 
     An article or main element with half the text is where the search starts.
     """
     nodes = page.nodes
     root = next((k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.noise and 2 * x.text >= nodes[0].text > 0), 0)
     while True:
-        inner = [k for k, x in enumerate(nodes) if x.parent == root and not x.noise and x.text >= 0.9 * nodes[root].text > 0 and x.lead == nodes[root].lead]
+        inner = [k for k in nodes[root].inner if not nodes[k].noise and nodes[k].tag in CONTAINERS and nodes[k].text >= 0.9 * nodes[root].text > 0 and nodes[k].lead == nodes[root].lead]
         if not inner:
-            return nodes[root].path
+            return root
         root = inner[0]
 
 
-def read(page: Page, path: str) -> str:
+def read(page: Page, path: int) -> str:
     """Text blocks in all containers of that path, one on a line."""
     inside = [False] * len(page.nodes)
     for k, x in enumerate(page.nodes):
-        inside[k] = x.path == path or (x.parent >= 0 and inside[x.parent])
-    return "\n".join(t for k, t in page.blocks if inside[k])
+        inside[k] = not x.noise and (x.path == path or (x.parent >= 0 and inside[x.parent]))
+    return "\n".join(t for k, t, _, _ in page.blocks if inside[k])
 
 
 def extract_one(html: str | None, winners: list[str] | None) -> tuple[str, str]:
-    """Text and path: the host's first winner that the page has, else the page's own best."""
+    """Text and path: the host's first winner that holds half of the page's text, else the page's own best."""
     page = parse(html or "")
-    there = {x.path for x in page.nodes if not x.noise and x.text}
-    path = next((p for p in winners or () if p in there), None) or best(page)
-    return read(page, path), path
+    held: dict[int, int] = {}
+    if winners:
+        for x in page.nodes:
+            if not x.noise and (x.parent < 0 or page.nodes[x.parent].path != x.path):
+                held[x.path] = held.get(x.path, 0) + x.text
+    path = next((p for p in winners or () if 2 * held.get(numbered(p), 0) >= page.nodes[0].text > 0), None)
+    if path is None:
+        k = best(page)
+        return read(page, page.nodes[k].path), page.path(k)
+    return read(page, numbered(path)), path
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.slices(batches, "html", 4 << 20):
+    for batch in W.slices(batches, "html"):
         paths = []
         for html in batch.column("html").to_pylist():
             page = parse(html or "")
-            paths.append(best(page) if page.nodes[0].text else None)
+            paths.append(page.path(best(page)) if page.nodes[0].text else None)
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.slices(batches, "html", 4 << 20):
+    for batch in W.slices(batches, "html"):
         found = [extract_one(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
         columns = [batch.column("page_id"), batch.column("url"), *(pa.array([x[k] for x in found], pa.string()) for k in (0, 1))]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "path"])
@@ -184,9 +261,10 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """page_id, url, text and path for each row of ``pages`` (page_id, url, html).
 
     Pages vote in one narrow pass for their best container's path, of tags and classes without
-    digits. Votes are counted by host and path before they are shuffled; paths with ``share`` of
+    digits. A name in class, id or role leaves an element out only if all its words say so, and not if the
+    element holds most of the page's text; a header inside an article is part of it. Votes are counted by host and path before they are shuffled; paths with ``share`` of
     the host's votes win, ten at most, the most votes first. The second pass reads them; a page
-    that has none of them is read by its own best path. The winners go to it by broadcast if they
+    in which none of them holds half of the text is read by its own best path. The winners go to it by broadcast if they
     are few, else by a join on the host. A null html is empty and gives an empty text; a null or
     odd URL's host is empty, which is a host too; repeated rows are read alike.
     """

@@ -101,11 +101,15 @@ def _settle(page: Page) -> Page:
     for k, x in enumerate(nodes):
         hard[k] |= x.parent >= 0 and hard[x.parent]
         total += 0 if hard[k] else size[k]
+    # Where a page has an article, only what holds one can be main text in spite of its name.
+    article = [False] * len(nodes)
     for k in range(len(nodes) - 1, 0, -1):
         if not hard[k]:
             size[nodes[k].parent] += size[k]
+            article[k] |= nodes[k].tag in ("article", "main") and size[k] > 0
+            article[nodes[k].parent] |= article[k]
     for k, x in enumerate(nodes):
-        if x.noise == 1 and not hard[k] and 2 * size[k] > total:
+        if x.noise == 1 and not hard[k] and 2 * size[k] > total and article[k] >= article[0]:
             x.noise = 0
         if x.parent >= 0:
             x.noise = max(x.noise, nodes[x.parent].noise)

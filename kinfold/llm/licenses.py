@@ -43,7 +43,31 @@ SENTENCES = (
     ("BSDNames", r"(?:\d )?neither the name of .* may be used to endorse or promote products .*"),
     ("BSDWarranty", r"this software is provided by .* as is and any express or implied warranties .*"),
     ("BSDRef", r"(?:.* )?under the (?:terms of the )?bsd license"),
+    ("BSD0Grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("ISCGrant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("PostgreSQLGrant", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted.*"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions.*"),
+    ("ZlibWarranty", r"this software is provided as is without any express or implied warranty"),
+    ("BoostRef", r"(?:.* )?under the boost software license version 1\.0.*"),
+    ("BoostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("EPL2Ref", r"(?:.* )?eclipse public license,? ?(?:v|v\. |version )?2\.0.*"),
+    ("EPL1Ref", r"(?:.* )?eclipse public license,? ?(?:v|v\. |version )?1\.0.*"),
+    ("CDDLRef", r"(?:.* )?common development and distribution license.*"),
+    ("EUPLRef", r"(?:.* )?(?:european union public licence|licensed under the eupl).*"),
+    ("ArtisticRef", r"(?:.* )?under the (?:terms of the )?artistic license 2\.0.*"),
+    ("OFLRef", r"(?:.* )?sil open font license.*"),
+    ("GFDLRef", r"(?:.* )?under the terms of the gnu free documentation license.*"),
+    ("PSFRef", r"(?:.* )?python software foundation license.*"),
+    ("MSPLRef", r"(?:.* )?microsoft public license.*"),
+    ("WTFPLRef", r"(?:.* )?do what the fuck you want to public license.*"),
+    ("ApacheTitle", r"apache license version 2\.0 january 2004.*"),
+    ("MITTitle", r"(?:the )?mit license"),
+    ("GPL3Title", r"gnu general public license version 3 29 june 2007.*"),
+    ("GPL2Title", r"gnu general public license version 2 june 1991.*"),
+    ("LGPL3Title", r"gnu lesser general public license version 3 29 june 2007.*"),
+    ("LGPL21Title", r"gnu lesser general public license version 2\.1 february 1999.*"),
+    ("AGPL3Title", r"gnu affero general public license version 3 19 november 2007.*"),
+    ("MPLTitle", r"mozilla public license version 2\.0"),
     ("CCBYSA", r"(?:.* )?under (?:a |the )?(?:creative commons attribution sharealike|cc by sa) ?(\d\.\d)?.*"),
     ("CCBYNC", r"(?:.* )?under (?:a |the )?(?:creative commons attribution noncommercial|cc by nc) ?(\d\.\d)?.*"),
     ("CCBY", r"(?:.* )?under (?:a |the )?(?:creative commons attribution|cc by) ?(\d\.\d)?.*"),
@@ -81,11 +105,44 @@ RULES = (
     ("CC-BY", ("CCBY",)),
     ("CC0-1.0", ("CC0",)),
     ("Unlicense", ("PublicDomain",)),
+    ("0BSD", ("BSD0Grant", "MITWarranty")),
+    ("0BSD", ("BSD0Grant",)),
+    ("PostgreSQL", ("PostgreSQLGrant",)),
+    ("Zlib", ("ZlibWarranty", "ZlibGrant")),
+    ("Zlib", ("ZlibGrant",)),
+    ("BSL-1.0", ("BoostRef",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("EPL-2.0", ("EPL2Ref",)),
+    ("EPL-1.0", ("EPL1Ref",)),
+    ("CDDL", ("CDDLRef",)),
+    ("EUPL", ("EUPLRef",)),
+    ("Artistic-2.0", ("ArtisticRef",)),
+    ("OFL", ("OFLRef",)),
+    ("GFDL", ("GFDLRef",)),
+    ("PSF-2.0", ("PSFRef",)),
+    ("MS-PL", ("MSPLRef",)),
+    ("WTFPL", ("WTFPLRef",)),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("MIT", ("MITTitle",)),
+    ("GPL-3.0", ("GPL3Title",)),
+    ("GPL-2.0", ("GPL2Title",)),
+    ("LGPL-3.0", ("LGPL3Title",)),
+    ("LGPL-2.1", ("LGPL21Title",)),
+    ("AGPL-3.0", ("AGPL3Title",)),
+    ("MPL-2.0", ("MPLTitle",)),
     ("unrecognised licence text", ("MITWarranty",)),
     ("unrecognised licence text", ("BSDGrant",)),
 )
+# Identifiers that SPDX tags use; a tag's other words are joined by hyphens.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 "
+    "CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FSFAP FTL "
+    "GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IJG IPL-1.0 ISC LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c Libpng MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA NTP OFL-1.1 OSL-3.0 OpenSSL PHP-3.01 PSF-2.0 PostgreSQL Python-2.0 Ruby SSPL-1.0 Sleepycat "
+    "TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 ZPL-2.1 Zlib curl Classpath-exception-2.0 GCC-exception-3.1 LLVM-exception Linux-syscall-note"
+).split()
 #: Each pattern above needs one of these in its sentence, so other sentences aren't looked at; words of a phrase may be on two lines.
-NEEDED = ("licen", "copyright", "©", "warrant", "permission", "redistribution", "cc0", "unencumbered")
+NEEDED = ("licen", "copyright", "©", "warrant", "permission", "redistribution", "cc0", "unencumbered", "eupl")
 NEEDED_PHRASES = {"neither": "neither the name", "event": "in no event", "rights": "all rights", "cc": "cc by", "creative": "creative commons", "mpl": "mpl was"}
 #: Unknown sentences that may stand between two sentences of a rule, such as a copyright line.
 GAP = 1
@@ -135,13 +192,36 @@ def identify(sentence: str) -> str | None:
     return _name(normalise(sentence))
 
 
+#: Sentences without variable parts are looked up, before the patterns are tried.
+_EXACT = {p: name for name, p in reversed(SENTENCES) if re.fullmatch("[a-z0-9 ]+", p)}
+
+
 def _name(plain: str) -> str | None:
+    if plain in _EXACT:
+        return _EXACT[plain]
     for name, pattern, literals in _KNOWN:
         if any(x in plain for x in literals) and (m := pattern.fullmatch(plain)):
             return f"SPDX:{m[1].strip()}" if name == "SPDX" else name
     return None
 
 
+_TAGS = {normalise(x): x for x in SPDX}
+
+
+def tagged(expression: str) -> list[str]:
+    """Identifiers in a normalised SPDX expression: the longest known ones, else the words up to the next operator."""
+    words, out, at = expression.split(), [], 0
+    while at < len(words):
+        n = next((n for n in range(min(len(words) - at, 6), 0, -1) if " ".join(words[at : at + n]) in _TAGS), 0)
+        if n:
+            out.append(_TAGS[" ".join(words[at : at + n])])
+        elif words[at] not in ("and", "or", "with"):
+            n = next((k for k in range(1, len(words) - at) if words[at + k] in ("and", "or", "with")), len(words) - at)
+            out.append("-".join(words[at : at + n]))
+        at += max(n, 1)
+    return out
+
+
 def known(segment: str) -> list[str]:
     """Identifiers of the known sentences in a text without full stops, in order.
 
@@ -194,7 +274,7 @@ def scan(text: str | None) -> tuple[list[str], list[str]]:
         for licence, rule in RULES:
             part = found[at : at + len(rule)]
             if [n.split(":")[0] for _, n in part] == list(rule) and all(b[0] - a[0] <= 1 + GAP for a, b in zip(part, part[1:], strict=False)):
-                licences.add(part[0][1].partition(":")[2] if licence == "SPDX" else licence)
+                licences.update(tagged(part[0][1].partition(":")[2]) if licence == "SPDX" else [licence])
                 at += len(rule)
                 break
         else:

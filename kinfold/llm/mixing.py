@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("left", F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.sum("weight").over(rest))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole))
     )
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("level")))
     return weighted.select("source", "source_size", target.alias("target"))
@@ -130,7 +130,7 @@ WITH rows_ AS (
       / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM weighted
 ), targets AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target
-  FROM (SELECT *, min(CASE WHEN own <= ratio THEN own END) OVER () AS level FROM levels)
+  FROM (SELECT *, max(CASE WHEN own <= ratio THEN own END) OVER () AS level FROM levels)
 ), ranked AS (
   SELECT r.doc_id, r.source, r.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS step,

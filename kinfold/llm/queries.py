@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html, jaccard, licenses, lines, mixing, quality, substrings, tokens, urls
+from . import decontam, html, jaccard, licenses, lines, mixing, quality, sql, substrings, tokens, urls
 from .spark import table
 
 
@@ -67,4 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.SQL, "op5_url_filter": urls.SQL}
+    return {
+        "op2_substring_dedup": sql.SUBSTRINGS, "op3_source_mix": mixing.SQL, "op4_line_dedup": sql.LINES, "op5_url_filter": urls.SQL,
+        "op6_decontamination": sql.LEAKS, "op7_quality_rules": sql.QUALITY, "op9_ngram_jaccard": sql.NEAR,
+    }

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, fmindex, html, jaccard, licenses, lines, mixing, quality, substrings, tokens, urls
+from kinfold.llm import components, decontam, fmindex, html, jaccard, licenses, lines, mixing, quality, substrings, tokens, urls
 from kinfold.llm.queries import model_path
+from kinfold.sources import store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, host string, row long"
 ITEMS = "item_id long, text string, key string"
@@ -48,6 +49,18 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(params=["usual", "tight"])
+def limits(request, monkeypatch):
+    """Limits as they are, and so tight that every way of an operator is taken: no broadcasts, many blocks, parts, shards and crowds."""
+    if request.param == "tight":
+        monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
+        for module, name, value in (
+            (substrings, "CROWD", 3), (substrings, "SHARD", 20), (substrings, "HOT", 2), (jaccard, "BLOCK_WORDS", 300), (jaccard, "SPLIT_BLOCKS", 1),
+            (decontam, "BLOCK_BYTES", 40), (mixing, "PART_ROWS", 2), (urls, "BUCKET_DAYS", 5),
+        ):
+            monkeypatch.setattr(module, name, value)
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([], ITEMS)
     assert licenses.scans(none).count() == substrings.removed(none).count() == mixing.mix(none).count() == lines.judge(none).count() == 0
@@ -57,7 +70,7 @@ def test_empty_tables(spark, none):
 
 def test_licences():
     found = licenses.scan("Hello world.\nReleased under the MIT License.")[1], licenses.scan("SPDX-License-Identifier: BSD-3-Clause\nint x;")[1], licenses.scan(None)[1], licenses.scan("I have a driving licence.")[1]
-    assert found == (["MIT"], ["bsd 3 clause"], [], [])
+    assert found == (["MIT"], ["BSD-3-Clause"], [], [])
     assert licenses.scan("This work is licensed under the GNU General Public License, version 3.")[1] == ["GPL-3.0"]
 
 
@@ -125,10 +138,10 @@ def test_licence_texts(name, width):
 def test_licence_lines():
     assert licenses.scan("Copyright 2020 Foo\nReleased under the MIT License\nint main")[0] == ["Copyright", "MITRef"]
     assert licenses.scan("Notes on copyright\n1234 items. All about a licence. In 2020 copyright was old.")[0] == []
-    assert licenses.scan("# SPDX-License-Identifier: MIT\n# Copyright 2020 Foo")[1] == ["mit"]
+    assert licenses.scan("# SPDX-License-Identifier: MIT\n# Copyright 2020 Foo")[1] == ["MIT"]
 
 
-def test_substrings(docs, rows):
+def test_substrings(docs, rows, limits):
     texts = [(r[0], WORD.findall(r[1] or "")) for r in rows]
     low = {}
     for i, w in texts:
@@ -163,7 +176,7 @@ def test_matching_statistics():
                 assert got[b + k] == best
 
 
-def test_mix(docs, rows):
+def test_mix(docs, rows, limits):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.copies <= 2 and r.taken == r.copies * r.size for r in got)
     assert sum(r.size for r in got) == sum(len(WORD.findall(r[1] or "")) for r in rows)
@@ -174,7 +187,7 @@ def test_mix(docs, rows):
         assert abs(sum(r.taken for r in part) - part[0].target) <= 2 * max(r.size for r in part)
 
 
-def test_lines(docs, rows):
+def test_lines(docs, rows, limits):
     seen = []
     for r in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
         for k, line in enumerate((r[1] or "").split("\n")):
@@ -198,7 +211,65 @@ def test_lines_apply(docs):
     assert kept.filter("text IS NOT NULL AND n_chars IS NOT NULL AND doc_id <> 7").filter(F.length("text") != F.col("n_chars")).count() == 0
 
 
-def test_urls(spark):
+def test_repeated_rows_meet_once(spark):
+    """60 equal rows and a copy of theirs: joined with themselves they would make 3,600."""
+    text = " ".join(f"w{k}" for k in range(120))
+    docs = spark.createDataFrame([(5, text, "s")] * 60 + [(1, text + " end", "s"), (9, text, "s")], "doc_id long, text string, source string")
+    facts, texts, runs = substrings._found(docs)
+    assert facts.count() == 62 and texts.count() <= 61 and runs.count() == 1
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.removed(docs).collect()) == [(1, 0)] + [(5, 120)] * 60 + [(9, 120)]
+    assert lines.judge(docs).filter("size(kept) = 1").count() == 1
+    assert jaccard.classes(docs).filter("class_id = 1 AND n_links = 61").count() == 62
+
+
+def test_clashing_columns(spark, rows):
+    extra = {"__id": 1, "__key": 2, "__kept": 3, "__gone": 4, "__host": 5, "__of": 6, "__content": 7, "lists": 8, "host": 9, "blocked": 10, "__url": 11}
+    docs = spark.createDataFrame([(r[0], r[1], r[3], r[4]) for r in rows], "doc_id long, text string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in extra.items()})
+    items = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    for out in (quality.apply(docs), quality.apply(docs, held=0), lines.apply(docs, lines.judge(docs)), jaccard.keep(docs), decontam.keep(docs, items)):
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+    for judged in (licenses.scans(docs), substrings.removed(docs), mixing.mix(docs), quality.judge(docs), tokens.counts(docs, model_path())):
+        assert judged.count() == len(rows)
+    captures = docs.select(F.lit("http://a.com/").alias("url"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), *extra)
+    out = urls.judge(captures, spark.createDataFrame([("l", "domain", "a.com", "add", "2024-01-01")], "list string, kind string, key string, action string, day string"))
+    assert out.filter("blocked AND host = 'a.com' AND lists = 'l'").count() == len(rows)
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(1, rnd.randrange(2, 60)) for _ in range(200)] + [(70, 70), (7, 3), (3, 7)]
+    group = {x: {x} for e in edges for x in e}
+    for a, b in edges:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(g) for x, g in group.items() if len(g) > 1}
+
+
+def test_licence_rows(spark):
+    texts = [None, "", "Released under the MIT License.", "Released under the MIT License.", "word " * 200_000 + ".\nSPDX-License-Identifier: Apache-2.0 OR My-Own\n"]
+    got = licenses.scans(spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.licence) for r in got) == [("1", ""), ("2", "MIT"), ("3", "MIT"), ("4", "Apache-2.0,my-own"), ("None", "")]
+
+
+def test_url_history(spark, limits):
+    """A host with 300 entries, and captures at every day: each is judged by the last entry up to its day."""
+    day = lambda k: str(np.datetime64("2023-01-01") + k)
+    rnd = random.Random(8)
+    entries = [("l", "domain", "hot.com", rnd.choice(["add", "remove"]), day(rnd.randrange(600))) for _ in range(300)]
+    captures = spark.createDataFrame([(k, "http://a.hot.com/x", day(k)) for k in range(700)] + [(999, None, day(1))], "page_id long, url string, t string").withColumn("fetched_at", F.col("t").cast("timestamp"))
+    got = {r.page_id: r.blocked for r in urls.judge(captures, spark.createDataFrame(entries, "list string, kind string, key string, action string, day string")).collect()}
+    for k in range(700):
+        known = [(d, a) for _, _, _, a, d in entries if d <= day(k)]
+        last = max((d for d, _ in known), default=None)
+        assert got[k] == (last is not None and all(a == "add" for d, a in known if d == last))
+    assert not got[999]
+    assert urls.judge(captures.limit(0), spark.createDataFrame(entries, "list string, kind string, key string, action string, day string")).count() == 0
+
+
+def test_urls(spark, limits):
     entries = spark.createDataFrame([("l", "domain", "a.com", "add", "2024-01-10"), ("l", "domain", "a.com", "remove", "2024-02-01"), ("l", "prefix", "b.com/x", "add", "2024-01-01"), (None, "domain", "c.com", "add", "2024-01-01")], "list string, kind string, key string, action string, day string")
     asked = [("http://www.a.com/1", "2024-01-10", True), ("http://www.a.com/1", "2024-02-01", False), ("http://www.a.com/1", "2024-01-09", False), ("http://aa.com/", "2024-01-15", False), ("https://u@B.com:80/x/y?q", "2024-03-01", True), ("https://b.com/xy", "2024-03-01", False), (None, "2024-03-01", False), ("junk", "2024-03-01", False), ("http://c.com", None, False), ("http://www.a.com/1", "2024-01-10", True)]
     captures = spark.createDataFrame([(k, u, t) for k, (u, t, _) in enumerate(asked)], "page_id long, url string, t string").withColumn("fetched_at", F.col("t").cast("timestamp"))
@@ -212,7 +283,7 @@ def low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_decontamination(spark, docs, rows):
+def test_decontamination(spark, docs, rows, limits):
     words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     items = [(1, " ".join((rows[0][1]).split()[3:20]).upper()), (2, "w1 W2"), (3, None), (4, ""), (12, rows[12][1]), (None, "w3 w9"), (2, "w5")]
     windows = {}
@@ -323,7 +394,43 @@ def test_html():
     assert html.extract_one("<article><p>cut off &am", None)[0] == "cut off &am"
 
 
-def test_jaccard(docs, rows):
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div class="layout with-sidebar"><article><h1>T</h1><p>some text</p></article><div class="sidebar"><p>side</p></div></div>', "T\nsome text"),
+    ("<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>text of it</p><footer>tags</footer></article></body>", "Title\ntext of it"),
+    ('<article><p class="form-factor">one</p><p id="search-results">two</p><p>press <label>this</label> now</p><p>a <span class="share">x</span> b</p></article>', "one\ntwo\npress this now\na b"),
+    ('<div class="header"><p>a long main text that is most of the page</p></div><p>x</p>', "a long main text that is most of the page\nx"),
+    ('<div class="ad">an advert that is longer than the article</div><article><p>short</p></article>', "short"),
+    ('<div class="post-comments"><p>one</p></div><div class="a"><p>main text</p><p>more</p></div><div class="site-footer">f</div><div class="cookie-banner">c</div>', "main text\nmore"),
+])
+def test_html_names(page, text):
+    assert html.extract_one(page, None)[0] == text
+
+
+def test_deep_and_long_pages():
+    """Memory grows with the page, not with its depth times its length."""
+    import tracemalloc
+
+    tracemalloc.start()
+    for page, n in (("<div>" * 40_000 + "<p>deep</p>", 4), ("<div><p>t</p>" * 40_000, 79_999), ("<b>" * 40_000 + "<p>x</p>" * 20_000, 39_999)):
+        assert len(html.extract_one(page, None)[0]) == n
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_host_consensus(spark, limits):
+    """Two templates on one host win; a page whose main text the winners don't hold is read by itself."""
+    one = lambda k: f'<body><div class="post p{k}"><p>text of page {k}{" on" * 50}</p><p>and more</p></div><div class="teasers">{"other news " * (40 if k == 3 else 1)}</div></body>'
+    two = lambda k: f'<body><section class="story"><p>story {k}{" on" * 50}</p></section><section class="most-read">a</section></body>'
+    odd = '<body><div class="post p9">no</div><div class="entry"><p>the real text of this page is here</p></div></body>'
+    rows = [(k, "http://h.com/1", one(k) if k % 2 else two(k), "x") for k in range(20)] + [(100, "http://h.com/odd", odd, "x"), (101, "http://h.com/none", None, None), (1, "http://h.com/1", one(1), "x"), (None, None, "<p>alone</p>", "x")]
+    got = [(r.page_id, r.text, r.path) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, paths string")).collect()]
+    text = dict((i, t) for i, t, _ in got)
+    assert len(got) == len(rows) and [t for i, t, _ in got if i == 1] == ["text of page 1" + " on" * 50 + "\nand more"] * 2
+    assert text[2] == "story 2" + " on" * 50 and text[100] == "the real text of this page is here" and text[101] == "" and text[None] == "alone"
+    assert {p for i, _, p in got if i is not None and i < 20 and i != 3} == {"body>div.p.post", "body>section.story"}
+
+
+def test_jaccard(docs, rows, limits):
     sets = []
     for k, r in enumerate(rows):
         w = WORD.findall(r[1] or "")

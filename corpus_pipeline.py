@@ -1,4 +1,9 @@
-"""From raw documents to a training mix: five stages, each on all that the one before kept."""
+"""From raw documents to a training mix: five stages, each on all that the one before kept.
+
+Null and empty texts have no words, so that the quality rules reject them; a null source is a source, a null
+doc_id comes before all others; repeated rows are judged alike until one of each class stays; extra
+columns, whatever their names, go along to the last stage; an empty table gives an empty mix.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +46,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: Similarity joins of lines and shingles are beyond SQL on whole tables; tests hold run() against the stages one by one; a brute-force version of all five is still missing.
+#: Five stages on one another's results are beyond SQL on whole tables; tests hold each of them and run() against plain Python.
 ORACLE_SQL = None
 
 

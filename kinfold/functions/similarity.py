@@ -21,9 +21,16 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     return F.when(either == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def gram_jaccard(a: Column, b: Column, n: int) -> Column:
+def gram_jaccard(a: Column, b: Column, n: int, *, both_empty: float = 0.0, whole: bool = False) -> Column:
+    """Jaccard similarity of the n-grams; 0 if one string has none, ``both_empty`` if both have none.
+
+    With ``whole``, a string too short for a gram is one gram as a whole.
+    """
     x, y = grams(a, n), grams(b, n)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(jaccard(x, y))
+    if whole:
+        x, y = (F.when(F.length(c) >= n, g).otherwise(F.array(c)) for c, g in ((a, x), (b, y)))
+    none = (F.size(x) == 0, F.size(y) == 0)
+    return F.when(none[0] & none[1], both_empty).when(none[0] | none[1], 0.0).otherwise(jaccard(x, y))
 
 
 def word_jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
@@ -80,6 +87,8 @@ def _lcs(a: str, b: str) -> int:
     rows: dict[str, int] = {}
     for i, x in enumerate(a):
         rows[x] = rows.get(x, 0) | 1 << i
+    if a == b:
+        return len(a)
     full = (1 << len(a)) - 1
     s = full
     for y in b:
@@ -116,19 +125,50 @@ def partial_ratio_one(a: str, b: str) -> float:
     return max(ratio_one(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long)))
 
 
+def city_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the long words that are no numbers; 1 if neither string has any."""
+    x, y = (F.array_distinct(F.filter(words(c), lambda w: (F.length(w) > 3) & ~w.rlike("^[0-9]+$"))) for c in (a, b))
+    return jaccard(x, y, 1.0)
+
+
+def initials_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the words' first letters; 0 if a string has none."""
+    x, y = (F.array_distinct(F.transform(words(c), lambda w: F.left(w, F.lit(1)))) for c in (a, b))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(jaccard(x, y))
+
+
+def house_distance(a: Column, b: Column) -> Column:
+    """Difference of the first words that are numbers, 999 at most, as a share of that; 0.5 if one has none."""
+    x, y = (F.get(F.filter(words(c), lambda w: w.rlike("^[0-9]+$")), F.lit(0)).try_cast("decimal(38,0)") for c in (a, b))
+    return F.coalesce(F.least(F.abs(x - y), F.lit(999)).cast("double") / 999, F.lit(0.5))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 ALIGNED = {"jw": jaro_winkler_one, "ratio": ratio_one, "token_sort": sort_ratio_one, "token_set": set_ratio_one, "partial": partial_ratio_one}
 
 
-@pandas_udf(StructType([StructField(k, DoubleType()) for k in ALIGNED]))
-def aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Jaro-Winkler, and Indel ratios of strings, sorted words, word sets and best windows; each distinct pair once."""
-    pairs = pd.DataFrame({"a": a.fillna(""), "b": b.fillna("")})
-    once = pairs.drop_duplicates()
-    found = pd.DataFrame({k: [f(x, y) for x, y in zip(once["a"], once["b"], strict=True)] for k, f in ALIGNED.items()})
-    known = once.reset_index(drop=True).join(found)
-    return pairs.merge(known, on=["a", "b"], how="left")[list(ALIGNED)]
+def aligned(wanted: dict[str, tuple[str, ...]]):
+    """A function of two columns for each key of ``wanted`` to a struct of its measures, such as name_jw for name: (jw,).
+
+    One Arrow batch at a time; each distinct pair of strings is measured once in it, by the measures asked for.
+    """
+
+    @pandas_udf(StructType([StructField(f"{k}_{x}", DoubleType()) for k, measures in wanted.items() for x in measures]))
+    def measure(*columns: pd.Series) -> pd.DataFrame:
+        out = {}
+        for (key, measures), a, b in zip(wanted.items(), columns[::2], columns[1::2], strict=True):
+            pairs = pd.MultiIndex.from_arrays([a.fillna(""), b.fillna("")])
+            where, once = pairs.factorize()
+            for x in measures:
+                found = pd.Series([ALIGNED[x](p, q) for p, q in once], dtype="float64")
+                out[f"{key}_{x}"] = found.take(where).to_numpy()
+        return pd.DataFrame(out)
+
+    return measure
 
 
-@pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_one(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+def jaro_winkler(a: Column, b: Column) -> Column:
+    return aligned({"x": ("jw",)})(a, b)["x_jw"]

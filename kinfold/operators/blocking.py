@@ -10,21 +10,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as T
 
 
-def normalize(entities: DataFrame) -> DataFrame:
-    """Entities with all keys that channels join on; keys are never null."""
-    name, address = F.col("business_name"), F.col("business_address")
-    out = entities.withColumns({"clean_name": T.clean(name), "sorted_name": T.sorted_name(name), "std_address": T.std_address(address), "sorted_addr": T.sorted_address(address), "postal_code": T.postal_code(address, F.col("country")), "adv_name": T.advanced_name(name)})
+def normalize(entities: DataFrame, postal_source: str = "raw") -> DataFrame:
+    """Entities with all keys that channels join on; neither they nor the country are ever null."""
+    name, address, country = F.col("business_name"), F.col("business_address"), F.trim(F.coalesce("country", F.lit("")))
+    out = entities.withColumn("country", country).withColumns({
+        "clean_name": T.clean(name),
+        "sorted_name": T.sorted_name(name),
+        "std_address": T.std_address(address),
+        "sorted_addr": T.sorted_address(address),
+        "postal_code": T.postal_code(address, F.col("country"), postal_source),
+        "adv_name": T.advanced_name(name),
+    })
     out = out.withColumns({
-        "stripped_name": T.without_words(F.col("clean_name")), "deleet_name": T.deleet(F.col("clean_name")), "spaceless_name": T.spaceless(F.col("clean_name")), "house_no": T.house_number(F.col("std_address")),
-        "first_word": T.word_at(F.col("clean_name"), 0), "brand_token": T.brand_token(F.col("clean_name")), "addr_p3": T.slice_words(F.col("std_address"), 1, 3), "street_prefix": T.slice_words(F.col("std_address"), 2, 2), "addr_sig": T.address_signature(F.col("std_address")),
+        "stripped_name": T.without_words(F.col("clean_name")),
+        "deleet_name": T.deleet(F.col("clean_name")),
+        "spaceless_name": T.spaceless(F.col("clean_name")),
+        "house_no": T.house_number(F.col("std_address")),
+        "first_word": T.word_at(F.col("clean_name"), 0),
+        "addr_p3": T.slice_words(F.col("std_address"), 1, 3),
+        "unit_p3": T.slice_words(T.without_unit(F.col("std_address")), 1, 3),
+        "street_prefix": T.slice_words(F.col("std_address"), 2, 2),
+        "addr_sig": T.address_signature(F.col("std_address")),
         "prefix2": T.slice_words(F.col("sorted_name"), 1, 2),
-    })
-    return out.withColumns({"name_bigram": T.name_bigram(F.col("stripped_name")), "sorted_deleet": T.sort_words(T.without_words(F.col("deleet_name")))})
+        "latin_name": T.transliterate(F.col("clean_name")),
+        "name_pair": T.two_longest(T.words(F.col("clean_name")), 4, (), digits=False),
+        "addr_pair": T.two_longest(T.words(F.col("std_address")), 5, T.PAIR_STOPS, digits=False),
+    })
+    return out.withColumns({
+        "brand_token": T.brand_token(F.col("stripped_name")),
+        "name_bigram": T.name_bigram(F.col("stripped_name")),
+        "sorted_deleet": T.sort_words(T.without_words(F.col("deleet_name"))),
+        "latin_sorted": T.sort_words(T.without_words(F.col("latin_name"))),
+        "first_word3": F.coalesce(F.get(F.filter(T.words(F.col("clean_name")), lambda x: F.length(x) >= 3), F.lit(0)), F.lit("")),
+    })
 
 
 @dataclass(frozen=True)
 class Channel:
-    """An equi-join on country and ``keys``; ``least`` are their shortest lengths, ``most`` the largest frequency among targets."""
+    """An equi-join on ``keys`` and, unless ``country`` is off, the country.
+
+    ``least`` are the keys' shortest lengths, ``most`` the largest frequency among targets (0: any),
+    ``pattern`` what the first key has to match.
+    """
 
     name: str
     keys: tuple[str, ...]
@@ -32,6 +59,11 @@ class Channel:
     least: tuple[int, ...] = (1,)
     most: int = 0
     pattern: str = ""
+    country: bool = True
+
+    @property
+    def on(self) -> list[str]:
+        return [*(("country",) if self.country else ()), *self.keys]
 
     def usable(self) -> Column:
         ok = reduce(Column.__and__, [F.length(k) >= n for k, n in zip(self.keys, self.least, strict=True)])
@@ -39,30 +71,52 @@ class Channel:
 
 
 CHANNELS = (
-    Channel("exact_name", ("clean_name",), 1.0), Channel("sorted_name", ("sorted_name",), 0.95), Channel("std_address", ("std_address",), 0.9, (10,)), Channel("sorted_addr", ("sorted_addr",), 0.88, (15,)),
-    Channel("rare_bigram", ("name_bigram",), 0.75, (1,), 500), Channel("street_prefix3", ("addr_p3",), 0.7, (8,), 0, "[0-9]"), Channel("rare_brand", ("brand_token",), 0.6, (1,), 300),
-)
+    Channel("exact_name", ("clean_name",), 1.0),
+    Channel("sorted_name", ("sorted_name",), 0.95),
+    Channel("std_address", ("std_address",), 0.9, (10,)),
+    Channel("sorted_addr", ("sorted_addr",), 0.88, (15,)),
+    Channel("rare_bigram", ("name_bigram",), 0.75, (1,), 500),
+    Channel("street_prefix3", ("addr_p3",), 0.7, (8,), 0, "[0-9]"),
+    Channel("rare_brand", ("brand_token",), 0.6, (1,), 300),
+)
 MORE_CHANNELS = (
-    Channel("spaceless", ("spaceless_name",), 0.95, (6,)), Channel("sorted_deleet", ("sorted_deleet",), 0.93), Channel("house_first_word", ("house_no", "first_word"), 0.82, (2, 4)), Channel("postal_first_word", ("postal_code", "first_word"), 0.8, (5, 4)),
-    Channel("house_street", ("house_no", "street_prefix"), 0.78, (2, 6)), Channel("addr_sig", ("addr_sig",), 0.72, (1,), 200), Channel("adv_name", ("adv_name",), 0.7, (5,), 150), Channel("rare_house", ("house_no",), 0.65, (3,), 10), Channel("prefix2", ("prefix2",), 0.6, (4,)),
-)
+    Channel("spaceless", ("spaceless_name",), 0.95, (6,)),
+    Channel("sorted_deleet", ("sorted_deleet",), 0.93),
+    Channel("house_first_word", ("house_no", "first_word"), 0.82, (2, 4)),
+    Channel("postal_first_word", ("postal_code", "first_word"), 0.8, (5, 4)),
+    Channel("house_street", ("house_no", "street_prefix"), 0.78, (2, 6)),
+    Channel("addr_sig", ("addr_sig",), 0.72, (1,), 200),
+    Channel("adv_name", ("adv_name",), 0.7, (5,), 150),
+    Channel("rare_house", ("house_no",), 0.65, (3,), 10),
+    Channel("prefix2", ("prefix2",), 0.6, (4,)),
+    Channel("unit_prefix3", ("unit_p3",), 0.7, (8,), 0, "[0-9]"),
+    Channel("latin_exact", ("latin_name",), 0.95),
+    Channel("latin_sorted", ("latin_sorted",), 0.85),
+    Channel("postal_anywhere", ("postal_code", "first_word3"), 0.8, (5, 3), country=False),
+    Channel("name_pair", ("name_pair",), 0.74),
+    Channel("addr_pair", ("addr_pair",), 0.73),
+)
+#: Channels that only look at names in an Indic script.
+INDIC_ONLY = ("latin_exact", "latin_sorted")
 
 
 def rare_keys(targets: DataFrame, channel: Channel) -> DataFrame:
     """Keys of a channel that at most ``most`` targets of a country have."""
-    on = ["country", *channel.keys]
-    return targets.filter(channel.usable()).groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= channel.most).drop("n")
+    return targets.filter(channel.usable()).groupBy(channel.on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= channel.most).drop("n")
 
 
 def pairs(queries: DataFrame, targets: DataFrame, channel: Channel) -> DataFrame:
     """Distinct (entity_id, target_id, prio) of one channel. Spark picks the join and splits a hot key."""
-    on = ["country", *channel.keys]
-    q = queries.filter(channel.usable()).select("entity_id", *on)
-    t = targets.filter(channel.usable()).select(F.col("entity_id").alias("target_id"), *on)
+    ok = channel.usable()
+    if channel.name in INDIC_ONLY:
+        ok = ok & F.col("clean_name").rlike(T.INDIC_LETTER)
+    q = queries.filter(ok).select("entity_id", *channel.on)
+    t = targets.filter(ok).select(F.col("entity_id").alias("target_id"), *channel.on)
     if channel.most:
-        rare = rare_keys(targets, channel)
-        t = t.join(rare, on, "left_semi")
-    return q.join(t, on).select("entity_id", "target_id").distinct().withColumn("prio", F.lit(channel.prio))
+        t = t.join(rare_keys(targets, channel), channel.on, "left_semi")
+    found = q.join(t, channel.on).select("entity_id", "target_id")
+    # An entity has one value of each key, so that a join by them makes each pair once.
+    return found.withColumn("prio", F.lit(channel.prio))
 
 
 def pool(found: list[DataFrame]) -> DataFrame:
@@ -71,27 +125,59 @@ def pool(found: list[DataFrame]) -> DataFrame:
     return every.groupBy("entity_id", "target_id").agg(F.max("prio").alias("max_prio"), F.count(F.lit(1)).cast("int").alias("n_channels"))
 
 
-def top_k(candidates: DataFrame, k: int, *order: Column) -> DataFrame:
-    """At most ``k`` candidates of each query; ties by target id."""
+def pool_pools(pools: list[DataFrame]) -> DataFrame:
+    """Pools as one: a pair's best priority, and its channels added up."""
+    every = reduce(DataFrame.unionByName, pools)
+    return every.groupBy("entity_id", "target_id").agg(F.max("max_prio").alias("max_prio"), F.sum("n_channels").cast("int").alias("n_channels"))
+
+
+def ranked_pool(found: list[DataFrame]) -> DataFrame:
+    """One row for each pair of tables in order of merit: the least place of a table that has it."""
+    every = [x.select("entity_id", "target_id", F.lit(k).alias("place")) for k, x in enumerate(found, 1)]
+    return reduce(DataFrame.unionByName, every).groupBy("entity_id", "target_id").agg(F.min("place").alias("place"))
+
+
+def three_pass(queries: DataFrame, targets: DataFrame, k: int = 30, postal: bool = True) -> DataFrame:
+    """Exact names, sorted names, then postal code and first word: each pair with the first pass that finds it."""
+    passes = [CHANNELS[0], CHANNELS[1], *([Channel("postal_first_word", ("postal_code", "first_word"), 0.8, (1, 3))] if postal else [])]
+    names = ("exact_clean", "token_sorted", "postal_first_word")
+    first = top_k(ranked_pool([pairs(queries, targets, c) for c in passes]), k, F.asc("place"))
+    return first.select("entity_id", "target_id", F.element_at(F.array(*map(F.lit, names)), F.col("place")).alias("provenance"))
+
+
+def pair_space(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """How many pairs there are within a country: a product of counts, no join of rows."""
+    q = queries.groupBy("country").agg(F.count(F.lit(1)).alias("n_queries"))
+    t = targets.groupBy("country").agg(F.count(F.lit(1)).alias("n_targets"))
+    both = q.join(t, "country", "full").fillna(0, ["n_queries", "n_targets"])
+    return both.select("country", "n_queries", "n_targets", (F.col("n_queries") * F.col("n_targets")).alias("n_pairs"))
+
+
+def top_k(candidates: DataFrame, k: int | None, *order: Column) -> DataFrame:
+    """At most ``k`` candidates of each query, or all of them; ties by target id."""
+    if k is None:
+        return candidates
     order = order or (F.desc("max_prio"), F.desc("n_channels"))
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(*order, F.asc("target_id")))
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def candidates(queries: DataFrame, targets: DataFrame, channels: tuple[Channel, ...] = CHANNELS, k: int = 40) -> DataFrame:
+def candidates(queries: DataFrame, targets: DataFrame, channels: tuple[Channel, ...] = CHANNELS, k: int | None = 40) -> DataFrame:
     return top_k(pool([pairs(queries, targets, c) for c in channels]), k)
 
 
-def token_index(queries: DataFrame, targets: DataFrame, key: str = "clean_name", most: int = 2000, k: int = 25) -> DataFrame:
-    """Targets ranked by how many rare words of at least 4 letters they share with a query."""
+def token_index(queries: DataFrame, targets: DataFrame, key: str = "clean_name", most: int | None = 2000, k: int | None = 25) -> DataFrame:
+    """Targets ranked by how many rare words of at least 4 letters they share with a query; without ``most``, by all words."""
 
     def exploded(df: DataFrame, name: str) -> DataFrame:
         tokens = F.array_distinct(F.filter(T.words(F.col(key)), lambda x: F.length(x) >= 4))
         return df.select(F.col("entity_id").alias(name), "country", F.explode(tokens).alias("word"))
 
     t = exploded(targets, "target_id")
-    rare = t.groupBy("country", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).drop("n")
-    shared = exploded(queries, "entity_id").join(t.join(rare, ["country", "word"], "left_semi"), ["country", "word"]).groupBy("entity_id", "target_id").agg(F.count(F.lit(1)).alias("shared"))
+    if most is not None:
+        rare = t.groupBy("country", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).drop("n")
+        t = t.join(rare, ["country", "word"], "left_semi")
+    shared = exploded(queries, "entity_id").join(t, ["country", "word"]).groupBy("entity_id", "target_id").agg(F.count(F.lit(1)).alias("shared"))
     return top_k(shared, k, F.desc("shared"))
 
 
@@ -105,23 +191,75 @@ def _sliced(n: int):
     return sliced
 
 
-def tfidf(queries: DataFrame, targets: DataFrame, key: str = "clean_name", *, sizes: tuple[int, ...] = (3, 4), min_df: int = 2, max_df: float = 0.05, k: int = 60, min_score: float = 0.12) -> DataFrame:
-    """Cosine of n-gram TF-IDF vectors by a join of postings; grams in too many targets are no postings."""
+@dataclass(frozen=True)
+class Grams:
+    """Weighted n-grams of targets: ``idf`` (shard, gram, idf) and ``postings`` (target_id, shard, gram, wt), which can be stored."""
+
+    idf: DataFrame
+    postings: DataFrame
+
+
+def _counted(df: DataFrame, name: str, key: str, sizes: tuple[int, ...], by_country: bool) -> DataFrame:
+    """How often each n-gram of the blank-padded words occurs in an entity."""
+    padded = F.transform(T.words(F.col(key)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    every = [F.flatten(F.transform(padded, _sliced(n))) for n in sizes]
+    shard = F.col("country") if by_country else F.lit("")
+    rows = df.select(F.col("entity_id").alias(name), shard.alias("shard"), F.explode(F.concat(*every)).alias("gram"))
+    return rows.groupBy(name, "shard", "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weighted(counted: DataFrame, idf: DataFrame, name: str, weight: str) -> DataFrame:
+    """Logarithmic counts times idf, of length 1."""
+    w = counted.join(idf, ["shard", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = w.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, name).select(name, "shard", "gram", (F.col("w") / F.col("norm")).alias(weight))
+
+
+def gram_index(
+    targets: DataFrame, key: str = "clean_name", *, sizes: tuple[int, ...] = (3, 4), min_df: int = 2, max_df: float | None = 0.05,
+    max_features: int | None = None, by_country: bool = True,
+) -> Grams:
+    """TF-IDF vectors of the targets, of each country or of all.
+
+    Grams of fewer than ``min_df`` targets or more than the share ``max_df`` are left out, and of the rest
+    all but the ``max_features`` commonest (ties by gram). None leaves a bound out. The share bounds postings.
+    """
+    t = _counted(targets, "target_id", key, sizes, by_country)
+    shard = F.col("country") if by_country else F.lit("")
+    total = targets.select(shard.alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("total"))
+    df = t.groupBy("shard", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).join(total, "shard").filter(F.col("df") >= min_df)
+    if max_df is not None:
+        df = df.filter(F.col("df") <= F.greatest(max_df * F.col("total"), F.lit(float(min_df))))
+    if max_features is not None:
+        common = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("all"), "gram"))
+        df = df.withColumn("place", common).filter(F.col("place") <= max_features)
+    idf = df.select("shard", "gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return Grams(idf, _weighted(t, idf, "target_id", "wt"))
+
+
+def gram_search(
+    queries: DataFrame, index: Grams, key: str = "clean_name", *, sizes: tuple[int, ...] = (3, 4), k: int | None = 60, min_score: float = 0.12, by_country: bool = True,
+) -> DataFrame:
+    """Cosine of queries and indexed targets by a join of postings, the ``k`` best of each query (None: all)."""
+    q = _weighted(_counted(queries, "entity_id", key, sizes, by_country), index.idf, "entity_id", "wq")
+    both = q.join(index.postings, ["shard", "gram"]).groupBy("entity_id", "target_id")
+    scores = both.agg(F.round(F.sum(F.col("wq") * F.col("wt")), 6).alias("score"))
+    return top_k(scores.filter(F.col("score") >= min_score), k, F.desc("score"))
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        padded = F.transform(T.words(F.col(key)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-        every = [F.flatten(F.transform(padded, _sliced(n))) for n in sizes]
-        return df.select(F.col("entity_id").alias(name), "country", F.explode(F.concat(*every)).alias("gram")).groupBy(name, "country", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
-    t = grams(targets, "target_id")
-    total = targets.groupBy("country").agg(F.count(F.lit(1)).alias("total"))
-    df = t.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df")).join(total, "country").filter((F.col("df") >= min_df) & (F.col("df") <= F.greatest(max_df * F.col("total"), F.lit(float(min_df)))))
-    idf = df.select("country", "gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+def tfidf(queries: DataFrame, targets: DataFrame, key: str = "clean_name", *, by_country: bool = True, k: int | None = 60, min_score: float = 0.12, **options) -> DataFrame:
+    """Targets of each query by the cosine of their n-grams."""
+    return gram_search(queries, gram_index(targets, key, by_country=by_country, **options), key, k=k, min_score=min_score, by_country=by_country)
 
-    def weighted(g: DataFrame, name: str, weight: str) -> DataFrame:
-        w = g.join(idf, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-        norm = w.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, name).select(name, "country", "gram", (F.col("w") / F.col("norm")).alias(weight))
 
-    scores = weighted(grams(queries, "entity_id"), "entity_id", "wq").join(weighted(t, "target_id", "wt"), ["country", "gram"]).groupBy("entity_id", "target_id").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 6).alias("score"))
-    return top_k(scores.filter(F.col("score") >= min_score), k, F.desc("score"))
+def thin_queries(queries: DataFrame, found: DataFrame, fewer: int = 20) -> DataFrame:
+    """Queries with fewer candidates than that; 1 leaves those without any."""
+    n = found.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewer).select("entity_id")
+    return queries.join(n, "entity_id", "left_anti")
+
+
+def recovered(queries: DataFrame, found: DataFrame, index: Grams, fewer: int = 20, share: float = 0.75, **options) -> DataFrame:
+    """The pool with what the n-gram index has for thin queries, at ``share`` of the cosine as priority."""
+    more = gram_search(thin_queries(queries, found, fewer), index, **options)
+    extra = more.select("entity_id", "target_id", F.round(share * F.col("score"), 6).alias("max_prio"), F.lit(1).alias("n_channels"))
+    return pool_pools([found.select("entity_id", "target_id", "max_prio", "n_channels"), extra])

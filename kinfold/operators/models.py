@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .evaluate import f_half
+
+
+def dealt(seed: int = 2026) -> Column:
+    """A number for each query, the same in each run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("entity_id")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
 
 def fold(n: int, seed: int = 2026) -> Column:
     """Fold of a query: all its pairs are in one."""
-    return F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(n)).cast("int")
+    return F.pmod(dealt(seed), F.lit(n)).cast("int")
+
+
+def split(rows: DataFrame, share: float = 0.7, seed: int = 2026) -> tuple[DataFrame, DataFrame]:
+    """Queries for training and the others, with all their pairs."""
+    low = dealt(seed) % 10_000 < round(share * 10_000)
+    return rows.filter(low), rows.filter(~low)
+
+
+def sampled(rows: DataFrame, share: float, seed: int = 2026) -> DataFrame:
+    """That share of the entities, the same in each run."""
+    return rows.filter(dealt(seed) % 1_000_000 < round(share * 1_000_000))
 
 
 def stratified(rows: DataFrame, strata: list[str], n: int, seed: int = 2026) -> DataFrame:
@@ -29,14 +48,15 @@ def negatives(labelled: DataFrame, k: int = 40) -> DataFrame:
 
 
 def weights(labelled: DataFrame, hard: float = 2.0) -> DataFrame:
-    """Classes weigh alike; like names at unlike addresses weigh ``hard`` times."""
-    total = Window.partitionBy()
-    share = F.avg("label").over(total)
+    """Classes weigh alike; like names at unlike addresses weigh ``hard`` times. The share of links is one broadcast row."""
+    share = labelled.agg(F.avg("label").alias("share"))
     tough = (F.col("name_jw") > 0.9) & (F.col("addr_tok_jac") < 0.2) & (F.col("addr_null_tgt") == 0) & (F.col("label") == 0)
-    return labelled.withColumn("weight", F.when(F.col("label") == 1, F.least(F.lit(50.0), (1 - share) / F.greatest(share, F.lit(1e-9)))).when(tough, hard).otherwise(1.0))
+    balance = F.least(F.lit(50.0), (1 - F.col("share")) / F.greatest("share", F.lit(1e-9)))
+    return labelled.crossJoin(F.broadcast(share)).withColumn("weight", F.when(F.col("label") == 1, balance).when(tough, hard).otherwise(1.0)).drop("share")
 
 
-def logistic(columns: list[str], c: float = 1.0, n: int = 1000, weight: str | None = None) -> Pipeline:
+def logistic(columns: list[str], n: int, c: float = 1.0, weight: str | None = None) -> Pipeline:
+    """Logistic regression on standardised columns; the penalty 1 / (c n) follows the number ``n`` of rows."""
     model = LogisticRegression(labelCol="label", featuresCol="scaled", regParam=1.0 / (c * max(n, 1)), **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), model])
 
@@ -50,7 +70,7 @@ def score(model, rows: DataFrame, name: str = "p") -> DataFrame:
     return found.select(*rows.columns, name)
 
 
-def out_of_fold(pipeline: Pipeline, rows: DataFrame, folds: int = 3, name: str = "p") -> DataFrame:
+def out_of_fold(pipeline: Pipeline, rows: DataFrame, folds: int = 5, name: str = "p") -> DataFrame:
     """Each row scored by a model that hasn't seen its query; every fold uses the same inputs."""
     marked = rows.withColumn("fold", fold(folds))
     parts = [score(pipeline.fit(marked.filter(F.col("fold") != k)), marked.filter(F.col("fold") == k), name) for k in range(folds)]
@@ -61,6 +81,48 @@ def blend(alpha: float, a: str, b: str) -> Column:
     return alpha * F.col(a) + (1 - alpha) * F.col(b)
 
 
+def mixtures(names: list[str], steps: int) -> list[tuple[float, ...]]:
+    """All weights of the names in ``steps``-ths that add up to 1."""
+    if len(names) == 1:
+        return [(1.0,)]
+    out: list[tuple[int, ...]] = [()]
+    for _ in names[:-1]:
+        out = [(*x, k) for x in out for k in range(steps + 1 - sum(x))]
+    return [(*(k / steps for k in x), (steps - sum(x)) / steps) for x in out]
+
+
+def mixture_grid(entities: DataFrame, truth: DataFrame, scored: DataFrame, names: list[str], steps: int, thetas: list[float]) -> DataFrame:
+    """Macro F0.5 of each mixture of the scores ``names`` at each threshold: (mixture, theta, macro_f05).
+
+    The grid is a small array beside each pair, and everything is counted in one aggregation.
+    """
+    marked = scored.join(truth.withColumn("t", F.lit(1)), ["entity_id", "target_id"], "left")
+    every = [F.struct(F.lit(k).alias("mixture"), F.round(sum(w * F.col(n) for w, n in zip(ws, names, strict=True)), 6).alias("p")) for k, ws in enumerate(mixtures(names, steps))]
+    rows = marked.select("entity_id", "t", F.explode(F.array(*every)).alias("x")).select("entity_id", "t", "x.mixture", "x.p")
+    over = F.filter(F.array(*[F.lit(x) for x in thetas]), lambda x: x <= F.col("p"))
+    hits = rows.select("entity_id", "mixture", "t", F.explode(over).alias("theta")).groupBy("entity_id", "mixture", "theta").agg(F.count(F.lit(1)).alias("n_pred"), F.count("t").alias("tp"))
+    true = truth.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_true"))
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("mixture"), F.lit(x).alias("theta")) for k in range(len(every)) for x in thetas])).alias("g")
+    base = entities.select("entity_id").join(true, "entity_id", "left").select("entity_id", F.coalesce("n_true", F.lit(0)).alias("n_true"), grid).select("entity_id", "n_true", "g.*")
+    whole = base.join(hits, ["entity_id", "mixture", "theta"], "left").fillna(0, ["n_pred", "tp"])
+    return whole.groupBy("mixture", "theta").agg(F.round(F.avg(f_half(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("macro_f05"))
+
+
+def importances(model, columns: list[str]) -> dict[str, float]:
+    """What a fitted pipeline's last stage says of each column: gains of trees, or coefficients."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray()
+    return dict(zip(columns, map(float, values), strict=True))
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def ranked_pairs(labelled: DataFrame, columns: list[str]) -> DataFrame:
     """Feature differences of a query's positive and negative pairs, both ways round, for a pairwise ranker."""
     a = labelled.filter("label = 1").select("entity_id", *[F.col(c).alias(f"a_{c}") for c in columns])

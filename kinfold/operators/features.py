@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as S, text as T
+from ..sources.store import spread
 
 KEYS = ("clean_name", "stripped_name", "sorted_name", "spaceless_name", "std_address", "sorted_addr", "postal_code", "house_no", "first_word", "country")
 #: Measures of names, addresses and sorted names that the feature sets use.
@@ -92,6 +93,7 @@ def measured(rows: DataFrame, wanted: dict[str, tuple[str, ...]] = MEASURES) ->
     """Attached pairs with a column ``m`` of alignment measures, such as m.name_jw: one call for all of them."""
     keys = {"name": "clean_name", "addr": "std_address", "sorted": "sorted_name"}
     columns = [F.col(f"{side}_{keys[k]}") for k in wanted for side in "qt"]
+    rows = spread(rows, "entity_id", "target_id")
     return rows.withColumn("m", S.aligned(wanted)(*columns))
 
 

@@ -23,7 +23,7 @@ TREES, FOLDS = 20, 5
 
 
 def everyone(spark: SparkSession, d: str) -> DataFrame:
-    return V.stored(spark, d, "entities", lambda: B.normalize(V.document_entities(spark, d)))
+    return V.stored(spark, d, "entities", lambda: B.normalize(store.spread(V.document_entities(spark, d))))
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,7 @@ def top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attached(spark: SparkSession, d: str) -> DataFrame:
-    return V.stored(spark, d, "attached", lambda: X.attach(top(spark, d), *sides(spark, d)))
+    return V.stored(spark, d, "attached", lambda: store.spread(X.attach(top(spark, d), *sides(spark, d)), "entity_id", "target_id"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -49,6 +49,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to as many partitions as shuffles have, evenly, before work that costs far more than its bytes suggest."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _width(c: Column, kind: DataType) -> Column:
     if isinstance(kind, StringType | BinaryType):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16

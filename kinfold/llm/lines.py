@@ -204,7 +204,7 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Lines of which a pair's similarity is high enough."""
-        ids = cut(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct())
+        ids = cut(pairs.select("id").unionAll(pairs.select(F.col("other").alias("id"))).distinct())
         asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids), "id", "left_semi"))
         asked = cut(asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked")))
         found = texts.alias("t").join(small(asked).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key")).select("t.text", "a.asked")

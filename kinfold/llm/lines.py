@@ -21,7 +21,8 @@ COUNTERS, CHUNKS = 1 << 20, 16
 #: A token is 44 bits of its hash, so that (line, token) is one number in batches of up to a million lines.
 _BITS = W.U64(44)
 _TOKEN = (W.U64(1) << _BITS) - W.U64(1)
-#: Prefix words are joined in this many parts, one after the other, so that only a part of them is in shuffles at a time.
+#: For the join of all lines, prefix words are taken in this many parts (a power of two), one after the other, so that
+#: only a part of them is in shuffles at a time.
 PARTS = 2
 
 
@@ -169,9 +170,9 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         found = [cut(pairs_of(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == k)) for k in range(PARTS)]
         return reduce(DataFrame.unionAll, found).distinct()
 
-    def first_pairs(part: Column) -> DataFrame:
+    def first_pairs() -> DataFrame:
         """Pairs of a line and the earliest one of a word in its prefix."""
-        words = exploded(firsts).filter(part)
+        words = exploded(firsts)
         # A row for each word, so that a task can hold its part of them and nothing need be sorted.
         earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
         on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & _fits("a", "b", threshold)
@@ -208,14 +209,15 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids), "id", "left_semi"))
         asked = cut(asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked")))
         found = texts.alias("t").join(small(asked).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key")).select("t.text", "a.asked")
-        # Repeated rows give their lines' sets once each.
-        sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>").dropDuplicates(["id"]))
+        sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>"))
+        if sets.count() > ids.count():  # repeated rows give their lines' sets once each
+            sets = cut(sets.dropDuplicates(["id"]))
         a, b = sets.select("id", F.col("tokens").alias("mine")), sets.select(F.col("id").alias("other"), F.col("tokens").alias("others"))
         both = F.size(F.array_intersect("mine", "others"))
         known = pairs.join(a, "id").join(b, "other").withColumn("both", both)
         return cut(known.filter(F.col("both") / (F.size("mine") + F.size("others") - F.col("both")) >= threshold).select("id").distinct())
 
-    settled = similar(cut(in_parts(first_pairs)))
+    settled = similar(cut(first_pairs()))
     marked = firsts.join(small(settled.withColumn("settled", F.lit(True))), "id", "left")
     marked = marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))
     rest = similar(cut(in_parts(lambda part: all_pairs(marked, part))))

@@ -66,7 +66,7 @@ def metaphone_one(name: str) -> str:
             out.append("X" if soft else "S")
             k += after == "H"
         elif c == "T":
-            out.append("X" if rest[:2] in ("IO", "IA") else "T" if rest[:2] == "HM" else "0" if after == "H" else "" if rest[:2] == "CH" else "T")
+            out.append("X" if rest[:2] in ("IO", "IA") else "0" if after == "H" else "" if rest[:2] == "CH" else "T")
             k += after == "H"
         elif c == "V":
             out.append("F")

@@ -140,7 +140,8 @@ def initials_jaccard(a: Column, b: Column) -> Column:
 def house_distance(a: Column, b: Column) -> Column:
     """Difference of the first words that are numbers, 999 at most, as a share of that; 0.5 if one has none."""
     x, y = (F.get(F.filter(words(c), lambda w: w.rlike("^[0-9]+$")), F.lit(0)).try_cast("decimal(38,0)") for c in (a, b))
-    return F.coalesce(F.least(F.abs(x - y), F.lit(999)).cast("double") / 999, F.lit(0.5))
+    apart = F.abs(x - y)
+    return F.when(apart.isNull(), 0.5).otherwise(F.least(apart, F.lit(999)).cast("double") / 999)
 
 
 def sigmoid(x: Column) -> Column:

@@ -139,7 +139,6 @@ def _entities(s: SparkSession, d: str) -> DataFrame:
 
 def _blocking_queries() -> dict[str, Query]:
     each = lambda s, d, channels: [B.pairs(*sides(s, d), c) for c in channels]
-    label = F.when(F.col("t") == 1, 1).otherwise(0).alias("label")
     return {f"ch_{c.name}": lambda s, d, c=c: B.pairs(*sides(s, d), c) for c in CHANNELS} | {
         "pool_candidates": lambda s, d: B.pool(each(s, d, B.CHANNELS)),
         "topk_candidates": fresh_top,
@@ -152,7 +151,7 @@ def _blocking_queries() -> dict[str, Query]:
         "rare_bigrams": lambda s, d: B.rare_keys(sides(s, d)[1], _channel("rare_bigram")),
         "rare_brands": lambda s, d: B.rare_keys(sides(s, d)[1], _channel("rare_brand")),
         "missed_anti": lambda s, d: truth(s, d).join(top(s, d), ["entity_id", "target_id"], "left_anti"),
-        "label_pairs": lambda s, d: top(s, d).join(truth(s, d).withColumn("t", F.lit(1)), ["entity_id", "target_id"], "left").select("entity_id", "target_id", label),
+        "label_pairs": _labels,
         "token_index": lambda s, d: B.token_index(*sides(s, d)),
         "reduction_ratio": lambda s, d: E.reduction(*sides(s, d), top(s, d)),
         "head_entities": lambda s, d: _entities(s, d).orderBy("entity_id").limit(50),
@@ -163,6 +162,11 @@ def _blocking_queries() -> dict[str, Query]:
     }
 
 
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    marked = top(s, d).join(truth(s, d).withColumn("t", F.lit(1)), ["entity_id", "target_id"], "left")
+    return marked.select("entity_id", "target_id", F.when(F.col("t") == 1, 1).otherwise(0).alias("label"))
+
+
 def _recovery(s: SparkSession, d: str) -> DataFrame:
     """The stored index of grams, asked for queries with fewer than 20 candidates."""
     q, t = sides(s, d)

@@ -288,7 +288,7 @@ SECOND = {
     "city_token_overlap": jaccard(city(A), city(C), "1"), "pincode_prefix_match": prefix("q_postal_code", "t_postal_code", 3), "india_flag": NATIVE["india_flag"],
 }
 BOOSTED = {
-    "house_number_diff": f"coalesce(least(abs({house(A)} - {house(C)}), 999)::DOUBLE / 999, 0.5::DOUBLE)",
+    "house_number_diff": f"(CASE WHEN {house(A)} IS NULL OR {house(C)} IS NULL THEN 0.5::DOUBLE ELSE least(abs({house(A)} - {house(C)}), 999)::DOUBLE / 999 END)",
     "street_token_overlap": jaccard(digit_words(A, False), digit_words(C, False), "1"), "name_digit_overlap": jaccard(digit_words(N, True), digit_words(M, True), "1"),
     "name_initials_match": _NULL_SAFE(initials), "name_bigram_jaccard": gram_jaccard(N, M, 2), "addr_bigram_jaccard": gram_jaccard(A, C, 2),
 }

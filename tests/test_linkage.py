@@ -52,3 +52,82 @@ def test_exclusive(spark):
 def test_contract(spark):
     rows = spark.createDataFrame([("S1-1", "a", None, "US"), ("S1-1", None, "b", None), ("S2-3", "c", "d", "US")], SCHEMA)
     assert E.contract(rows, "S1-").first().asDict() == {"rows": 3, "missing_ids": 0, "repeated_ids": 1, "wrong_prefix": 1, "null_names": 1, "null_countries": 1, "null_addresses": 1}
+
+
+def test_null_country(spark):
+    rows = B.normalize(spark.createDataFrame([("S1-1", "Apex Labs", None, None), ("S2-1", "Apex Labs", None, " ")], SCHEMA))
+    q, t = rows.filter("entity_id = 'S1-1'"), rows.filter("entity_id = 'S2-1'")
+    assert B.candidates(q, t).count() == 1 and B.candidates(q, t, k=None).count() == 1
+    assert B.pair_space(q, t).first().n_pairs == 1
+
+
+def test_three_pass(spark):
+    q, t = sides(spark)
+    found = {(r.entity_id, r.target_id): r.provenance for r in B.three_pass(q, t).collect()}
+    assert found["s1_001", "t2_001"] == "exact_clean" and found["s1_001", "t2_002"] == "token_sorted"
+
+
+def test_round_trips(spark, tmp_path):
+    links = spark.createDataFrame([("a", "S2-1", 0.9), ("a", "S3-2", 0.5), ("b", "S2-1", 0.25)], "entity_id string, target_id string, p double")
+    N.write_probabilities(links, str(tmp_path / "p"))
+    assert sorted(map(tuple, N.read_probabilities(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, links.collect()))
+    assert N.write_shards(links, str(tmp_path / "s"), 3) == [0, 1, 2] and N.write_shards(links, str(tmp_path / "s"), 3) == []
+    assert N.read_shards(spark, str(tmp_path / "s")).count() == 3
+
+
+def result(tmp_path, *lines):
+    path = tmp_path / f"r{len(list(tmp_path.iterdir()))}.tsv"
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_validator(spark, tmp_path):
+    required = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
+    candidates = spark.createDataFrame([("S1-1", "S2-1")], "entity_id string, target_id string")
+    targets = spark.createDataFrame([("S2-1",), ("S3-1",)], "entity_id string")
+    check = lambda *lines: E.validate(spark, result(tmp_path, *lines), required, candidates, targets)
+    head = "source1_entity_id\tmatched_entity_ids"
+    assert check(head, "S1-1\tS2-1", "S1-2\t") == ([], [])
+    assert "commas" in check("source1_entity_id,matched_entity_ids", "S1-1,S2-1")[0][0]
+    assert "header" in check("a\tb", "S1-1\tS2-1")[0][0]
+    assert check(head, "S1-1\tS2-1", "S1-2\t", "junk")[0] == ["rows without a tab: 1"]
+    assert check(head, "S1-1\tS2-1,S2-1,S1-2,X-1,S2-9", "S1-1\t", "S1-9\t") == (
+        ["bad_prefix: 1", "extra_entity: 1", "missing_entity: 1", "repeated_entity: 1", "repeated_target: 1", "self_match: 1", "unknown_target: 1"], ["outside_candidates: 1"])
+
+
+def test_required(spark):
+    import pytest
+
+    good = spark.createDataFrame([("S1-1", "a", None, "US")], SCHEMA)
+    E.required(good, "S1-")
+    for bad in (good.drop("country"), good.limit(0), good.unionAll(good), good.replace("S1-1", "S2-1")):
+        with pytest.raises(ValueError):
+            E.required(bad, "S1-")
+
+
+def test_stream(spark, tmp_path):
+    """Batches run again leave the same links; a target stays with its first query."""
+    from kinfold.streaming import incremental
+
+    schema, inbox = SCHEMA, tmp_path / "in"
+    targets = spark.createDataFrame(TARGETS, SCHEMA)
+    links, marks = str(tmp_path / "links"), str(tmp_path / "marks")
+    for k, row in enumerate([QUERIES[0], ("s1_009", *QUERIES[0][1:])]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        incremental.link_stream(spark.readStream.schema(schema).parquet(str(inbox)), targets, links, marks).awaitTermination()
+    got = {(r.entity_id, r.target_id) for r in incremental.linked(spark, links).collect()}
+    assert ("s1_001", "t2_001") in got and not any(e == "s1_009" and t == "t2_001" for e, t in got)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kinfold.__main__ import main
+
+    for name, rows in (("q", QUERIES), ("t", TARGETS)):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.csv(str(tmp_path / name), sep="\t", header=True, quote="")
+    out = str(tmp_path / "c")
+    assert main(["candidates", "--source1", str(tmp_path / "q"), "--targets", str(tmp_path / "t"), "--output", out, "--top-k", "2"]) == 0
+    lists = {r[0]: r[1] for r in spark.read.csv(out, sep="\t", header=True, quote="").collect()}
+    assert set(lists) == {"s1_001", "s1_002", "s1_003"} and lists["s1_001"] == "t2_001,t2_002"
+    spark.read.csv(out, sep="\t", header=True, quote="").withColumnRenamed("candidate_entity_ids", "matched_entity_ids").coalesce(1).write.csv(str(tmp_path / "m"), sep="\t", header=True, quote="")
+    assert main(["evaluate", "--pred", str(tmp_path / "m"), "--gt", str(tmp_path / "m"), "--verbose"]) == 0
+    assert "macro_f05\t1.0" in capsys.readouterr().out

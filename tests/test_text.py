@@ -30,7 +30,12 @@ def test_words(spark):
     assert run(spark, T.std_address, "00450 Main St, New York 0 007b") == "450 main street ny 0 007b"
     assert run(spark, T.deleet, "ac0sta") == "acosta"
     assert run(spark, T.numeric_tokens, "Flat 102, 4 B 560001, 5") == "4,5,102,560001"
-    assert run(spark, T.transliterate, "खान") == "khaan"
+    assert run(spark, T.transliterate, "खान") == "khan"
+    assert run(spark, lambda c: T.transliterate(c, True), "खान १") == "khaan 1"
+    assert run(spark, T.transliterate, "\u09a1\u09bc\u0995") == "rk" and run(spark, T.transliterate, "தமிழ்") == "tmizh"
+    assert run(spark, T.ascii_folded, "Société Générale ﬁ ß") == "Societe Generale fi " and run(spark, T.unaccented, "société") == "societe"
+    assert run(spark, T.brand_token, run(spark, lambda c: T.without_words(T.clean(c)), "Corp Zenith Labs")) == "zenith"
+    assert run(spark, T.postal_code, "5 A St Boston 02139", "en") == "02139" and run(spark, lambda a, c: T.postal_code(a, c, "std"), "5 A St Boston 02139", "US") == ""
     assert run(spark, T.transliterate, "khan") == "khan"
 
 
@@ -47,3 +52,39 @@ def test_alignment_measures():
 def test_grams_of_short_strings(spark):
     assert run(spark, lambda a, b: S.gram_jaccard(a, b, 3), "ab", "ab") == 0.0
     assert run(spark, lambda a, b: S.gram_jaccard(a, b, 2), "abc", "abd") == pytest.approx(1 / 3)
+
+
+def test_ratio_against_brute_force():
+    import random
+
+    rnd = random.Random(3)
+
+    def lcs(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abcé ") for _ in range(rnd.randrange(12))) for _ in range(2))
+        assert S.ratio_one(a, b) == (2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_aligned(spark):
+    rows = spark.createDataFrame([("a b", "b a"), ("a b", "b a"), (None, "x")], "q string, t string")
+    got = rows.select(S.aligned({"n": ("ratio", "token_sort"), "m": ("jw",)})("q", "t", "q", "t").alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in got] == [(pytest.approx(1 / 3), 1.0, pytest.approx(5 / 9))] * 2 + [(0.0, 0.0, 0.0)]
+
+
+def test_jaccard_options(spark):
+    assert run(spark, lambda a, b: S.gram_jaccard(a, b, 3, both_empty=1.0), "ab", "ab") == 1.0
+    assert run(spark, lambda a, b: S.gram_jaccard(a, b, 3, whole=True), "ab", "ab") == 1.0
+    assert run(spark, S.house_distance, "12 x", "20 y") == 8 / 999 and run(spark, S.house_distance, "x", "20 y") == 0.5
+
+
+def test_phonetic_keys():
+    from kinfold.functions import phonetic
+
+    assert [phonetic.metaphone_one(x) for x in ("Phone", "Which", "Thompson", "Edge", "")] == ["FN", "WX", "0MPSN", "EJ", ""]
+    assert [phonetic.nysiis_one(x) for x in ("knight", "Worthy", "Ogata", "montgomery", "")] == ["NAGT", "WARTY", "OGAT", "MANTGANARY", ""]

@@ -21,8 +21,8 @@ COUNTERS, CHUNKS = 1 << 20, 16
 #: A token is 44 bits of its hash, so that (line, token) is one number in batches of up to a million lines.
 _BITS = W.U64(44)
 _TOKEN = (W.U64(1) << _BITS) - W.U64(1)
-#: For the join of all lines, prefix words are taken in this many parts (a power of two), one after the other, so that
-#: only a part of them is in shuffles at a time.
+#: Prefix words are joined in this many parts (a power of two), one after the other, so that only a part of them is in
+#: shuffles at a time.
 PARTS = 2
 
 
@@ -170,9 +170,9 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         found = [cut(pairs_of(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == k)) for k in range(PARTS)]
         return reduce(DataFrame.unionAll, found).distinct()
 
-    def first_pairs() -> DataFrame:
+    def first_pairs(part: Column) -> DataFrame:
         """Pairs of a line and the earliest one of a word in its prefix."""
-        words = exploded(firsts)
+        words = exploded(firsts).filter(part)
         # A row for each word, so that a task can hold its part of them and nothing need be sorted.
         earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
         on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & _fits("a", "b", threshold)
@@ -217,13 +217,13 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         known = pairs.join(a, "id").join(b, "other").withColumn("both", both)
         return cut(known.filter(F.col("both") / (F.size("mine") + F.size("others") - F.col("both")) >= threshold).select("id").distinct())
 
-    settled = similar(cut(first_pairs()))
+    settled = similar(cut(in_parts(first_pairs)))
     marked = firsts.join(small(settled.withColumn("settled", F.lit(True))), "id", "left")
     marked = marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))
     rest = similar(cut(in_parts(lambda part: all_pairs(marked, part))))
     gone = settled.unionAll(rest)
     kept = firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
-    n_lines = texts.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")).cast("long").alias("n_lines"))
+    n_lines = texts.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long").alias("n_lines"))
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
 

@@ -26,14 +26,19 @@ _TOKEN = (W.U64(1) << _BITS) - W.U64(1)
 PARTS = 2
 
 
+def _used(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines begin, the indexes of those that have words, and how many words each of these has."""
+    begins = np.unique(np.concatenate([found.offsets[:-1], np.flatnonzero(found.data[: int(found.offsets[-1])] == 10) + 1]))
+    words = np.diff(np.searchsorted(found.start, begins), append=len(found.start))
+    used = np.flatnonzero(words)
+    return begins, used, words[used]
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (line, token) in order: line's index, token; and for each line that has words its text and number in it."""
     found = W.split(texts)
-    n = int(found.offsets[-1])
-    begins = np.unique(np.concatenate([found.offsets[:-1], np.flatnonzero(found.data[:n] == 10) + 1]))
-    words = np.diff(np.searchsorted(found.start, begins), append=len(found.start))
-    used = np.flatnonzero(words)
-    index = np.repeat(np.arange(len(used)), words[used])
+    begins, used, words = _used(found)
+    index = np.repeat(np.arange(len(used)), words)
     token = found.hash >> W.U64(20)
     if len(used) < 1 << 20:
         packed = (index.astype(W.U64) << _BITS) | token
@@ -48,13 +53,23 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return index, token, row, used - np.searchsorted(begins, found.offsets[row])
 
 
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the number of lines for each text, and rows with the task's counters."""
     total = np.zeros(COUNTERS, np.uint64)
     for batch in W.slices(batches, "text", 8 << 20):
-        token = W.split(batch.column("text")).hash >> W.U64(20)
+        found = W.split(batch.column("text"))
+        token = found.hash >> W.U64(20)
         total += np.bincount((token & W.U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint64)
+        begins, used, _ = _used(found)
+        n = np.bincount(np.searchsorted(found.offsets, begins[used], "right") - 1, minlength=len(batch))
+        none = [pa.nulls(len(batch), _COUNTED.field(k).type) for k in (3, 4)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64)), *none], schema=_COUNTED)
     parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(total, CHUNKS)) if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
+    none = [pa.nulls(len(parts), pa.int64())] * 3
+    yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_COUNTED)
 
 
 def _add(group: pd.DataFrame) -> pd.DataFrame:
@@ -64,15 +79,20 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def counters(docs: DataFrame) -> np.ndarray:
-    """Occurrences of the tokens of each counter; summed up in two levels, 8 MB whatever the input."""
-    parts = cut(docs.select("text").mapInArrow(_count, "chunk int, counts binary").withColumn("task", F.spark_partition_id()))
+def counted(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, key and n_lines of each row, and the occurrences of the tokens of each counter, in one pass over the texts.
+
+    The counters are summed up in two levels, 8 MB whatever the input.
+    """
+    found = texts.mapInArrow(_count, "doc_id long, key long, n_lines long, chunk int, counts binary")
+    found = cut(found.withColumn("task", F.spark_partition_id()))
+    parts = found.filter("chunk IS NOT NULL")
     level = F.pmod(F.col("task"), F.lit(max(1, isqrt(parts.rdd.getNumPartitions()))))
     some = parts.groupBy("chunk", level.alias("level")).applyInPandas(_add, "chunk int, counts binary")
     out = np.zeros(COUNTERS, np.uint64)
     for row in some.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect():
         out[row["chunk"] * (COUNTERS // CHUNKS) :][: COUNTERS // CHUNKS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    return out
+    return found.filter("chunk IS NULL").select("doc_id", "key", "n_lines"), out
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -153,7 +173,8 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     of them are still found. Bitmaps of words drop pairs that can't be similar before their sets are fetched.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    rarities = docs.sparkSession.sparkContext.broadcast(ranks(counters(texts)))
+    n_lines, counts = counted(texts)
+    rarities = docs.sparkSession.sparkContext.broadcast(ranks(counts))
     lines = texts.mapInArrow(_prefixes(rarities, threshold), "doc_id long, key long, line long, s1 long, s2 long, n long, bitmap long, prefix array<int>")
     at = F.struct(F.col("doc_id"), F.col("key"), F.col("line"), F.col("n"), F.col("bitmap"), F.col("prefix"))
     firsts = lines.groupBy("s1", "s2").agg(F.min(at).alias("x")).select("x.*")
@@ -223,7 +244,6 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     rest = similar(cut(in_parts(lambda part: all_pairs(marked, part))))
     gone = settled.unionAll(rest)
     kept = firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
-    n_lines = texts.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long").alias("n_lines"))
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +36,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a batch, in order; ``row`` is each one's text."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a batch, in order."""
 
     data: np.ndarray  # UTF-8 of all texts, padded
     offsets: np.ndarray  # of the texts in data
     start: np.ndarray
     length: np.ndarray
-    row: np.ndarray
     hash: np.ndarray
 
-    @property
+    @cached_property
     def first(self) -> np.ndarray:
         """Index of each text's first word, and the number of words at the end."""
-        return np.searchsorted(self.row, np.arange(len(self.offsets)))
+        return np.searchsorted(self.start, self.offsets)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """Each word's text."""
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +81,7 @@ def split(texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray | None =
     ends = inside[:-1] & (~inside[1:] | edge)
     start = np.flatnonzero(begins)
     length = np.flatnonzero(ends) - start
-    row = np.searchsorted(offsets, start, "right") - 1
-    return Words(data, offsets, start, length, row, _hash(data, start, length))
+    return Words(data, offsets, start, length, _hash(data, start, length))
 
 
 def _hash(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

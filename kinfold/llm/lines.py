@@ -181,10 +181,10 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     # In the order of the lines, so that an id is less than another if its line is earlier.
     firsts = cut(firsts.orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")).withColumn("id", F.monotonically_increasing_id())
 
-    def exploded(lines: DataFrame) -> DataFrame:
-        """(id, packed: number of words and place, bitmap, word) for each word of the prefixes."""
-        words = lines.select("id", "n", "bitmap", F.posexplode("prefix").alias("place", "word"))
-        return words.select("id", (F.shiftleft(F.col("n"), 32) + F.col("place")).alias("packed"), "bitmap", "word")
+    def exploded(lines: DataFrame, *others: str) -> DataFrame:
+        """(id, packed: number of words and place, bitmap, word, ``others``) for each word of the prefixes."""
+        words = lines.select("id", F.shiftleft("n", 32).alias("n"), "bitmap", *others, F.posexplode("prefix").alias("place", "word"))
+        return words.select("id", (F.col("n") + F.col("place")).alias("packed"), "bitmap", "word", *others)
 
     def in_parts(pairs_of: Callable[[Column], DataFrame]) -> DataFrame:
         """The pairs of each part of the words, made one after the other."""
@@ -211,13 +211,14 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         n - 2 * threshold / (1 + threshold) * n + 1 words. The shorter is dealt to the classes of the sizes that it
         can be similar to, so that lines of very different sizes never meet, however common their words are.
         """
-        n, place = F.shiftright("packed", 32), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
-        key = lambda size: F.shiftleft(F.col("word").cast("long"), 16) + size
-        found = exploded(marked).filter(part)
-        longer = found.select("id", "packed", "bitmap", key(size_class(n)).alias("key"))
-        shorter = found.filter(place <= n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
-        sizes = F.sequence(size_class(n), size_class(F.floor(n / threshold + 1e-9)))
-        shorter = shorter.select("id", "packed", "bitmap", "word", F.explode(sizes).alias("size")).select("id", "packed", "bitmap", key(F.col("size")).alias("key"))
+        n, place = F.col("n"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
+        key = lambda size: F.shiftleft(F.col("word").cast("long"), 16) + F.col(size)
+        # What depends on the line alone is computed for it, not for each of its words.
+        sizes = {"size": size_class(n), "most": size_class(F.floor(n / threshold + 1e-9)), "last": n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9)}
+        found = exploded(marked.withColumns(sizes), *sizes).filter(part)
+        longer = found.select("id", "packed", "bitmap", key("size").alias("key"))
+        shorter = found.filter(place <= F.col("last")).withColumn("size", F.explode(F.sequence("size", "most")))
+        shorter = shorter.select("id", "packed", "bitmap", key("size").alias("key"))
         a, b = (F.greatest(F.col(f"{x}.id"), -1 - F.col(f"{x}.id")) for x in "ab")
         size_a, size_b = (F.shiftright(f"{x}.packed", 32) for x in "ab")
         on = (F.col("a.key") == F.col("b.key")) & ((size_a > size_b) | ((size_a == size_b) & (a > b))) & _fits("a", "b", threshold)

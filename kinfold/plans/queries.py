@@ -171,7 +171,7 @@ def _recovery(s: SparkSession, d: str) -> DataFrame:
     """The stored index of grams, asked for queries with fewer than 20 candidates."""
     q, t = sides(s, d)
     index = B.gram_index(t, min_df=5, max_features=50_000)
-    kept = B.Grams(V.stored(s, d, "idf", lambda: index.idf), V.stored(s, d, "postings", lambda: index.postings))
+    kept = B.Grams(V.stored(s, d, "idf", lambda: index.idf), V.stored(s, d, "names", lambda: index.names))
     return B.recovered(q, top(s, d), kept)
 
 

@@ -1,6 +1,10 @@
+from collections import Counter
+from math import log, sqrt
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
-from kinfold.operators import blocking as B, decide as D, evaluate as E
+from kinfold.operators import blocking as B, decide as D, evaluate as E, grams as G
 from kinfold.sources import entities as N
 
 SCHEMA = N.ENTITY
@@ -131,3 +135,79 @@ def test_command_line(spark, tmp_path, capsys):
     spark.read.csv(out, sep="\t", header=True, quote="").withColumnRenamed("candidate_entity_ids", "matched_entity_ids").coalesce(1).write.csv(str(tmp_path / "m"), sep="\t", header=True, quote="")
     assert main(["evaluate", "--pred", str(tmp_path / "m"), "--gt", str(tmp_path / "m"), "--verbose"]) == 0
     assert "macro_f05\t1.0" in capsys.readouterr().out
+
+
+def _cosines(queries, targets, least):
+    """Cosines of all pairs of (id, country, name), by plain Python."""
+
+    def counts(rows):
+        out = {}
+        for id_, country, name in rows:
+            mine = out.setdefault(id_, Counter())
+            for w in (f" {w} " for w in name.split()):
+                mine.update((country, w[i : i + n]) for n in (3, 4) for i in range(len(w) - n + 1))
+        return out
+
+    q, t = counts(queries), counts(targets)
+    df, total = Counter(g for x in t.values() for g in x), Counter(x[1] for x in targets)
+    idf = {g: log((1 + total[g[0]]) / (1 + n)) + 1 for g, n in df.items() if n >= 2}
+
+    def unit(x):
+        w = {g: (1 + log(n)) * idf[g] for g, n in x.items() if g in idf}
+        return {g: y / sqrt(sum(z * z for z in w.values())) for g, y in w.items()}
+
+    q, t = ({k: unit(x) for k, x in side.items()} for side in (q, t))
+    scores = {(a, b): round(sum(y * t[b].get(g, 0) for g, y in q[a].items()), 6) for a in q for b in t}
+    return {k: x for k, x in scores.items() if x >= least}
+
+
+def _searched(spark):
+    words = ("apex", "añex", "granite", "gränite", "harbor", "harbour", "apexes", "tundra", "🙂apex", "b")
+    name = lambda k: f"{words[k % 10]} {words[k * 7 % 9]}  {words[k // 3 % 8]}" if k % 11 else ""
+    rows = [(f"{'S1' if k % 3 == 0 else 'S2'}-{k}", ("US", "DE")[k % 2], name(k)) for k in range(240)] + [("S2-1", "US", "apex harbor"), ("S1-3", "DE", "granite tundra")]
+    df = spark.createDataFrame(rows, "entity_id string, country string, clean_name string")
+    q, t = df.filter("entity_id LIKE 'S1%'"), df.filter("entity_id LIKE 'S2%'")
+    return [x for x in rows if x[0] < "S2"], [x for x in rows if x[0] > "S2"], q, t
+
+
+def test_gram_search_is_exact(spark):
+    queries, targets, q, t = _searched(spark)
+    expected = _cosines(queries, targets, 0.12)
+    index = B.gram_index(t, max_df=None)
+    got = {(r.entity_id, r.target_id): r.score for r in B.gram_search(q, index, k=None).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - x) < 2e-6 for k, x in expected.items())
+    best = B.gram_search(q, index, k=3).collect()
+    for a in {r.entity_id for r in best}:
+        every = sorted((-s, b) for (x, b), s in got.items() if x == a)[:3]
+        assert sorted((-r.score, r.target_id) for r in best if r.entity_id == a) == every
+    assert B.tfidf(q.limit(0), t).count() == 0 and B.tfidf(q, t.limit(0)).count() == 0
+
+
+def test_gram_search_in_blocks(spark, monkeypatch):
+    """Targets in many blocks, two parts in one partition, an id that is repeated."""
+    queries, targets, q, t = _searched(spark)
+    idf = B.gram_index(t, max_df=None).idf.toPandas()
+    index = SimpleNamespace(value=(idf["hash"].to_numpy().view("uint64"), idf["idf"].to_numpy()))
+    rows = [x.withColumns({"part": F.explode(F.array(F.lit(0), F.lit(1))), "side": F.lit(k)}) for k, x in enumerate(B._named(x, "clean_name", True) for x in (q, t))]
+    rows[0] = rows[0].filter("part = hash(id) & 1")
+    both = rows[0].unionByName(rows[1]).withColumn("shard_hash", F.xxhash64("shard")).orderBy("part", "side", "id")
+    batches = both.select(F.col("part").cast("int"), F.col("side").cast("int"), "id", "shard_hash", "text").toArrow().to_batches(max_chunksize=7)
+    found = lambda: {(a, b): s for x in G.searched(index, (3, 4), 5, 0.12)(iter(batches)) for a, b, s in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    whole = found()
+    monkeypatch.setattr(G, "BLOCK", 9)
+    assert found() == whole and {a for a, _ in whole} == {a for a, _ in _cosines(queries, targets, 0.12)}
+
+
+def test_gram_search_shuffles_no_pairs(spark):
+    """Names that all share their grams: what is shuffled grows with the names, not with their pairs."""
+    df = spark.range(600).selectExpr("concat('S', id % 2 + 1, '-', id) AS entity_id", "'US' AS country", "concat('apex harbor ', id) AS clean_name")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    before = written()
+    assert B.tfidf(df.filter("entity_id LIKE 'S1%'"), df.filter("entity_id LIKE 'S2%'"), max_df=None).count() == 300 * 60
+    assert sum(n for k, n in written().items() if k not in before) < 20_000

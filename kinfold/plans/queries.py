@@ -162,9 +162,9 @@ def _blocking_queries() -> dict[str, Query]:
     }
 
 
-def _labels(s: SparkSession, d: str) -> DataFrame:
+def _labels(s: SparkSession, d: str, *more: str) -> DataFrame:
     marked = top(s, d).join(truth(s, d).withColumn("t", F.lit(1)), ["entity_id", "target_id"], "left")
-    return marked.select("entity_id", "target_id", F.when(F.col("t") == 1, 1).otherwise(0).alias("label"))
+    return marked.select("entity_id", "target_id", *more, F.when(F.col("t") == 1, 1).otherwise(0).alias("label"))
 
 
 def _recovery(s: SparkSession, d: str) -> DataFrame:
@@ -388,10 +388,8 @@ def _report_queries() -> dict[str, Query]:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """The 44 features of all candidates, with labels."""
-    features = V.stored(spark, d, "features", lambda: X.features(top(spark, d), *sides(spark, d)))
-    marked = features.join(truth(spark, d).withColumn("t", F.lit(1)), ["entity_id", "target_id"], "left")
-    return marked.withColumn("label", F.when(F.col("t") == 1, 1).otherwise(0)).drop("t")
+    """The 44 features of all candidates, with labels, stored together: models read them many times, and join nothing."""
+    return V.stored(spark, d, "labelled", lambda: X.features(_labels(spark, d, "max_prio", "n_channels"), *sides(spark, d)))
 
 
 def feature_names(rows: DataFrame) -> list[str]:
@@ -416,7 +414,7 @@ def _ranker(s: SparkSession, d: str) -> DataFrame:
     """A pairwise ranker on differences of a query's pairs; its margin is a score by the sigmoid."""
     rows = labelled(s, d)
     names = feature_names(rows)
-    pairs = M.ranked_pairs(rows, names)
+    pairs = M.both_ways(store.written(M.ranked_pairs(rows, names)), names)
     return M.score(M.logistic(names, pairs.count()).fit(pairs), rows).select("entity_id", "target_id", "label", "p")
 
 

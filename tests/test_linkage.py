@@ -4,7 +4,8 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import blocking as B, decide as D, evaluate as E, grams as G
+from kinfold.operators import blocking as B, decide as D, evaluate as E, grams as G, models as M
+from kinfold.plans import queries as Q
 from kinfold.sources import entities as N
 
 SCHEMA = N.ENTITY
@@ -211,3 +212,24 @@ def test_gram_search_shuffles_no_pairs(spark):
     before = written()
     assert B.tfidf(df.filter("entity_id LIKE 'S1%'"), df.filter("entity_id LIKE 'S2%'"), max_df=None).count() == 300 * 60
     assert sum(n for k, n in written().items() if k not in before) < 20_000
+
+
+def test_models_read_stored_rows(spark, monkeypatch):
+    """What a model reads in each of its steps has no join or shuffle behind it."""
+    d, fitted = "/root/testdata/sf0.001", []
+    rows = Q.labelled(spark, d)
+    true = {(r.entity_id, r.target_id) for r in Q.truth(spark, d).collect()}
+    assert {(r.entity_id, r.target_id): r.label for r in rows.collect()} == {(r.entity_id, r.target_id): int((r.entity_id, r.target_id) in true) for r in Q.top(spark, d).collect()}
+    monkeypatch.setattr(M, "logistic", lambda names, n: SimpleNamespace(fit=lambda df: fitted.append(df) or None))
+    monkeypatch.setattr(M, "score", lambda model, rows: rows.withColumn("p", F.lit(0.0)))
+    Q.queries()["ranker_scores"](spark, d)
+    for df in (rows, *fitted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    assert len(fitted) == 1 and fitted[0].filter("label = 1").count() == fitted[0].filter("label = 0").count()
+
+
+def test_ranked_pairs_both_ways(spark):
+    rows = spark.createDataFrame([("q", 1, 5.0), ("q", 0, 2.0), ("q", 0, 4.0), ("r", 1, 1.0), ("s", 0, 9.0)], "entity_id string, label int, x double")
+    both = M.both_ways(M.ranked_pairs(rows, ["x"]), ["x"])
+    assert sorted((r.x, r.label) for r in both.collect()) == [(-3.0, 0), (-1.0, 0), (1.0, 1), (3.0, 1)]

@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Targets whose postings are held at once, about 70 MB for names of 35 letters.
-BLOCK = 1 << 17
+#: Targets whose postings are held at once, about 35 MB for names of 35 letters, and rows whose n-grams are made at once.
+BLOCK, SLICE = 1 << 16, 1 << 13
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def counted(sizes: tuple[int, ...]):
     """(shard, gram, hash, df, all) of each block of entities: in how many each n-gram is, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _pieces(batches, BLOCK):
+        for _, rows in _pieces(batches, SLICE):
             _, entity = _entities(rows)
             shards = rows.column("shard").combine_chunks()
             for n, text, start, row, found in _grams(rows, sizes):
@@ -127,10 +127,12 @@ def _vectors(rows: pa.Table, sizes: tuple[int, ...], index: Known, by_gram: bool
     """Ids, and entity, gram and weight of what the index knows, in order of entity or of gram; each entity's weights have length 1."""
     ids, entity = _entities(rows)
     packed = []
-    for _, _, _, row, found in _grams(rows, sizes):
-        known, gram = index.find(found)
-        high, low = (gram, entity[row[known]]) if by_gram else (entity[row[known]], gram)
-        packed.append((high.astype(U64) << U64(32)) | low.astype(U64))
+    for a in range(0, len(rows), SLICE):
+        for _, _, _, row, found in _grams(rows.slice(a, SLICE), sizes):
+            known, gram = index.find(found)
+            of = entity[a + row[known]]
+            high, low = (gram, of) if by_gram else (of, gram)
+            packed.append((high.astype(U64) << U64(32)) | low.astype(U64))
     both, tf = np.unique(np.concatenate(packed), return_counts=True)
     high, low = (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype(np.int64)
     of, gram = (low, high) if by_gram else (high, low)

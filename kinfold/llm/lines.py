@@ -10,7 +10,7 @@ from math import isqrt, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
 from .spark import cut, fresh, small
@@ -24,6 +24,13 @@ _TOKEN = (W.U64(1) << _BITS) - W.U64(1)
 #: Prefix words are joined in this many parts (a power of two), one after the other, so that only a part of them is in
 #: shuffles at a time.
 PARTS = 2
+#: So many lines tested against one earlier line are a crowd. This many of its lines that are nearest to the earlier one, and
+#: as many of its first ones, are hubs; a line meets as many of them for each word of its prefix before it meets all lines.
+CROWD, HUBS = 16, 4
+#: 64-bit words of the bitmap that a crowd's lines have besides the one of all lines.
+WIDE = 8
+#: The bit of ``packed``, above the place, of lines that have such a bitmap.
+CROWDED = 1 << 31
 
 
 def _used(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +139,7 @@ def _prefixes(rarities, threshold: float):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The token sets of the lines asked for: columns text, lines (list of number and id)."""
+    """The token sets of the lines asked for, and their wide bitmaps: columns text, lines (list of number and id)."""
     for batch in W.slices(batches, "text", 2 << 20):
         ids, found = [], []
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
@@ -141,13 +148,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found += [of_text[x["line"]] for x in asked]
         index, token, _, _ = _tokens(pa.array(found, pa.large_string()))
         start = np.searchsorted(index, np.arange(len(ids) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(start), pa.array(token.astype(np.int64)))], names=["id", "tokens"])
+        wide = np.zeros((len(ids), WIDE), W.U64)
+        np.bitwise_xor.at(wide, (index, (token >> W.U64(6) & W.U64(WIDE - 1)).astype(np.int64)), W.U64(1) << (token & W.U64(63)))
+        words = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(WIDE)), pa.array(wide.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(start), pa.array(token.astype(np.int64))), words], names=["id", "tokens", "wide"])
 
 
 def _fits(a: str, b: str, threshold: float) -> Column:
     """Length, position and bitmap filters: a pair of that similarity passes at its first common prefix token."""
     n, m = (F.shiftright(F.col(f"{x}.packed"), 32) for x in (a, b))
-    after_a, after_b = (size - F.col(f"{x}.packed").bitwiseAND(F.lit(0xFFFFFFFF)) for size, x in ((n, a), (m, b)))
+    after_a, after_b = (size - F.col(f"{x}.packed").bitwiseAND(F.lit(CROWDED - 1)) for size, x in ((n, a), (m, b)))
     overlap = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     return (
         (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
@@ -156,6 +166,14 @@ def _fits(a: str, b: str, threshold: float) -> Column:
     )
 
 
+def _fits_wide(a: str, b: str, threshold: float) -> Column:
+    """The bitmap filter with the bitmaps that a crowd's lines have besides."""
+    n, m = (F.shiftright(F.col(f"{x}.packed"), 32) for x in (a, b))
+    differ = F.zip_with(f"{a}.wide", f"{b}.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    most = n + m - 2 * F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+    return F.aggregate(differ, F.lit(0).cast("long"), lambda x, y: x + y) <= most
+
+
 def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key (hash of the text), n_lines and kept (numbers of the lines to keep, from 0) of each row of ``docs``.
 
@@ -171,6 +189,8 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     tested against the earliest line that shares a prefix word; only lines that this doesn't settle
     are joined with all lines that share one. So a crowd of like lines makes few pairs, and the rest
     of them are still found. Bitmaps of words drop pairs that can't be similar before their sets are fetched.
+    Where many lines meet one earlier line, those left are first tested against its nearest lines, and the
+    crowd's lines get bitmaps of 512 bits, as those of 64 pass most near copies that are just not similar.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     n_lines, counts = counted(texts)
@@ -191,6 +211,13 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         found = [cut(pairs_of(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == k)) for k in range(PARTS)]
         return reduce(DataFrame.unionAll, found).distinct()
 
+    def size_class(n: Column) -> Column:
+        """Sets of n and of up to n / threshold words are in one class or in neighbours."""
+        return F.floor(F.log(n.cast("double")) / log(max(threshold**-2, 1.01)))
+
+    def key(size: str) -> Column:
+        return F.shiftleft(F.col("word").cast("long"), 16) + F.col(size)
+
     def first_pairs(part: Column) -> DataFrame:
         """Pairs of a line and the earliest one of a word in its prefix."""
         words = exploded(firsts).filter(part)
@@ -200,50 +227,80 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         # Without abs() the planner knows that id > other, and fails to carry that over into the union of the parts.
         return words.alias("a").join(earliest.alias("b"), on).select(F.abs("a.id").alias("id"), F.abs("b.id").alias("other")).distinct()
 
-    def size_class(n: Column) -> Column:
-        """Sets of n and of up to n / threshold words are in one class or in neighbours."""
-        return F.floor(F.log(n.cast("double")) / log(max(threshold**-2, 1.01)))
-
-    def all_pairs(marked: DataFrame, part: Column) -> DataFrame:
+    def all_pairs(marked: DataFrame, part: Column, *wide: str) -> DataFrame:
         """Pairs of lines of which the later isn't settled; a settled line has -1 - id for its id.
 
         The longer line of a pair shares a word of its prefix with the shorter line's first
         n - 2 * threshold / (1 + threshold) * n + 1 words. The shorter is dealt to the classes of the sizes that it
         can be similar to, so that lines of very different sizes never meet, however common their words are.
+        Pairs of two lines with ``wide`` bitmaps are left out unless these are asked for.
         """
-        n, place = F.col("n"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
-        key = lambda size: F.shiftleft(F.col("word").cast("long"), 16) + F.col(size)
+        n, place = F.col("n"), F.col("packed").bitwiseAND(F.lit(CROWDED - 1))
         # What depends on the line alone is computed for it, not for each of its words.
         sizes = {"size": size_class(n), "most": size_class(F.floor(n / threshold + 1e-9)), "last": n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9)}
-        found = exploded(marked.withColumns(sizes), *sizes).filter(part)
-        longer = found.select("id", "packed", "bitmap", key("size").alias("key"))
+        sizes["crowded"] = F.when(F.col("wide").isNull(), 0).otherwise(CROWDED)
+        found = exploded(marked.withColumns(sizes), *wide, *sizes).filter(part)
+        packed = (F.col("packed") + F.col("crowded")).alias("packed")
+        longer = found.select("id", packed, "bitmap", *wide, key("size").alias("key"))
         shorter = found.filter(place <= F.col("last")).withColumn("size", F.explode(F.sequence("size", "most")))
-        shorter = shorter.select("id", "packed", "bitmap", key("size").alias("key"))
+        shorter = shorter.select("id", packed, "bitmap", *wide, key("size").alias("key"))
         a, b = (F.greatest(F.col(f"{x}.id"), -1 - F.col(f"{x}.id")) for x in "ab")
         size_a, size_b = (F.shiftright(f"{x}.packed", 32) for x in "ab")
         on = (F.col("a.key") == F.col("b.key")) & ((size_a > size_b) | ((size_a == size_b) & (a > b))) & _fits("a", "b", threshold)
         open_ = F.when(a > b, F.col("a.id")).otherwise(F.col("b.id")) >= 0
-        return longer.alias("a").join(shorter.alias("b"), on & open_).select(F.greatest(a, b).alias("id"), F.least(a, b).alias("other")).distinct()
+        more = _fits_wide("a", "b", threshold) if wide else F.col("a.packed").bitwiseAND(F.col("b.packed")).bitwiseAND(F.lit(CROWDED)) == 0
+        return longer.alias("a").join(shorter.alias("b"), on & open_ & more).select(F.greatest(a, b).alias("id"), F.least(a, b).alias("other")).distinct()
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Lines of which a pair's similarity is high enough."""
+    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs with their similarity (id, other, alike), and id, tokens, wide of their lines."""
         ids = cut(pairs.select("id").unionAll(pairs.select(F.col("other").alias("id"))).distinct())
         asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids), "id", "left_semi"))
         asked = cut(asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked")))
         found = texts.alias("t").join(small(asked).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key")).select("t.text", "a.asked")
-        sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>"))
+        sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>, wide array<long>"))
         if sets.count() > ids.count():  # repeated rows give their lines' sets once each
             sets = cut(sets.dropDuplicates(["id"]))
         a, b = sets.select("id", F.col("tokens").alias("mine")), sets.select(F.col("id").alias("other"), F.col("tokens").alias("others"))
         both = F.size(F.array_intersect("mine", "others"))
         known = pairs.join(a, "id").join(b, "other").withColumn("both", both)
-        return cut(known.filter(F.col("both") / (F.size("mine") + F.size("others") - F.col("both")) >= threshold).select("id").distinct())
+        return cut(known.select("id", "other", (F.col("both") / (F.size("mine") + F.size("others") - F.col("both"))).alias("alike"))), sets
 
-    settled = similar(cut(in_parts(first_pairs)))
-    marked = firsts.join(small(settled.withColumn("settled", F.lit(True))), "id", "left")
+    def similar(known: DataFrame) -> DataFrame:
+        """Lines of which a pair's similarity is high enough."""
+        return known.filter(F.col("alike") >= threshold).select("id").distinct()
+
+    def hub_pairs(members: DataFrame, settled: DataFrame) -> DataFrame:
+        """Pairs of a line that isn't settled and a hub of a crowd, at most ``HUBS`` for each word of the line's prefix.
+
+        Of near copies of one line, those nearest to another copy have the fewest changes, and the more of the rest are like them.
+        """
+        ranked = [members.select("id", F.row_number().over(Window.partitionBy("other").orderBy(*order)).alias("rank")) for order in ((F.desc("alike"), "id"), ("id",))]
+        hubs = cut(reduce(DataFrame.unionAll, [x.filter(F.col("rank") <= HUBS) for x in ranked]).groupBy("id").agg(F.min("rank").alias("rank")))
+        words = exploded(firsts.join(small(hubs), "id"), "rank").withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy("rank", "id")))
+        words = small(cut(words.filter(F.col("nth") <= HUBS).select("id", "packed", "bitmap", "word")))
+        lines = exploded(firsts.join(small(settled), "id", "left_anti"))
+        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & _fits("a", "b", threshold)
+        return lines.alias("a").join(words.alias("b"), on).select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("other")).distinct()
+
+    known, sets = tested(cut(in_parts(first_pairs)))
+    settled = cut(similar(known))
+    crowds = cut(known.groupBy("other").agg(F.count("*").alias("lines")).filter(F.col("lines") >= CROWD).select("other"))
+    facts, crowded = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")), None
+    if not crowds.isEmpty():
+        members = cut(known.join(small(crowds), "other", "left_semi"))
+        more, others = tested(cut(hub_pairs(members, settled)))
+        settled = cut(settled.unionAll(similar(more)).distinct())
+        crowded = cut(members.select("id").unionAll(crowds.select(F.col("other").alias("id"))).distinct())
+        wide = sets.join(small(crowded), "id", "left_semi").unionAll(others).select("id", F.lit(None).cast("boolean").alias("settled"), "wide")
+        facts = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")).unionAll(wide)
+        facts = cut(facts.groupBy("id").agg(F.max("settled").alias("settled"), F.max("wide").alias("wide")))
+    marked = firsts.join(small(facts), "id", "left")
     marked = marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))
-    rest = similar(cut(in_parts(lambda part: all_pairs(marked, part))))
-    gone = settled.unionAll(rest)
+    pairs = in_parts(lambda part: all_pairs(marked, part))
+    if crowded is not None:
+        pairs = pairs.unionAll(cut(all_pairs(marked.filter("wide IS NOT NULL"), F.lit(True), "wide")))
+    rest = similar(tested(cut(pairs))[0])
+    gone = cut(settled.unionAll(rest))
     kept = firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))

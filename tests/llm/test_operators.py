@@ -222,6 +222,37 @@ def test_repeated_rows_meet_once(spark):
     assert jaccard.classes(docs).filter("class_id = 1 AND n_links = 61").count() == 62
 
 
+def near_copies(n, size=60, seed=4):
+    """Lines of ``size`` words, each with one to six of them changed, of which most pairs are a little less than 0.8 alike."""
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        words = [f"base{j}" for j in range(size)]
+        for j in rnd.sample(range(size), rnd.choice([1, 2, 3, 4, 4, 5, 5, 6])):
+            words[j] = f"edit{k}x{j}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_near_copies_make_few_pairs(spark, limits, monkeypatch):
+    """The pairs to verify grew with the square of such a group: 25 for each line of 200, 50 for each of 400."""
+    made, cut = [], lines.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["id", "other"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", counted)
+    rows = near_copies(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [frozenset(t.split()) for _, t in rows]
+    stays = {i for i, s in enumerate(sets) if not any(len(s & t) >= 0.8 * len(s | t) for t in sets[:i])}
+    assert {r.doc_id for r in lines.judge(docs).collect() if r.kept} == stays
+    assert 1 < len(stays) < 200 and sum(made) < 20 * len(rows)
+
+
 def test_clashing_columns(spark, rows):
     extra = {"__id": 1, "__key": 2, "__kept": 3, "__gone": 4, "__host": 5, "__of": 6, "__content": 7, "lists": 8, "host": 9, "blocked": 10, "__url": 11}
     docs = spark.createDataFrame([(r[0], r[1], r[3], r[4]) for r in rows], "doc_id long, text string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in extra.items()})

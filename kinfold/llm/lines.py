@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
-from math import isqrt, log
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import words as W
-from .spark import cut, fresh, small
+from .spark import cut, fresh, small, unwritten, written
 
 THRESHOLD = 0.8
 #: Token counts are kept in this many counters, whatever the vocabulary; tokens that share one only seem less rare.
@@ -21,16 +21,22 @@ COUNTERS, CHUNKS = 1 << 20, 16
 #: A token is 44 bits of its hash, so that (line, token) is one number in batches of up to a million lines.
 _BITS = W.U64(44)
 _TOKEN = (W.U64(1) << _BITS) - W.U64(1)
-#: Prefix words are joined in this many parts (a power of two), one after the other, so that only a part of them is in
-#: shuffles at a time.
-PARTS = 2
+#: Lines and the words of their prefixes go to parts as blocks, a row for what a task has for a part; it deals lines with
+#: so many words in prefixes at a time.
+DEALT = 1 << 19
+#: Words of whole texts, repeats counted, for which there is a part at least; some tenth of them are in prefixes.
+PART_WORDS = 1 << 24
+#: Pairs of lines that are looked at in one go, unless one line has more.
+PAIRS = 1 << 20
 #: So many lines tested against one earlier line are a crowd. This many of its lines that are nearest to the earlier one, and
 #: as many of its first ones, are hubs; a line meets as many of them for each word of its prefix before it meets all lines.
 CROWD, HUBS = 16, 4
 #: 64-bit words of the bitmap that a crowd's lines have besides the one of all lines.
 WIDE = 8
-#: The bit of ``packed``, above the place, of lines that have such a bitmap.
-CROWDED = 1 << 31
+#: The columns of the 256-bit bitmap that all lines have, against which pairs are held before their sets are fetched.
+SIGNS = ["w0", "w1", "w2", "w3"]
+#: The bit of a place in a prefix, above the place, of lines that have such a bitmap.
+CROWDED = np.uint32(1 << 31)
 
 
 def _used(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,25 +71,35 @@ _COUNTED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", p
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with the number of lines for each text, and rows with the task's counters."""
-    total = np.zeros(COUNTERS, np.uint64)
+    total = np.zeros(COUNTERS, np.int64)
     for batch in W.slices(batches, "text", 8 << 20):
         found = W.split(batch.column("text"))
         token = found.hash >> W.U64(20)
-        total += np.bincount((token & W.U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint64)
+        total += np.bincount((token & W.U64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
         begins, used, _ = _used(found)
         n = np.bincount(np.searchsorted(found.offsets, begins[used], "right") - 1, minlength=len(batch))
         none = [pa.nulls(len(batch), _COUNTED.field(k).type) for k in (3, 4)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64)), *none], schema=_COUNTED)
-    parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(total, CHUNKS)) if x.any()]
+    parts = [(k, _packed(x)) for k, x in enumerate(np.split(total, CHUNKS)) if x.any()]
     none = [pa.nulls(len(parts), pa.int64())] * 3
     yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_COUNTED)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    raw = zlib.decompress(counts)
+    return np.frombuffer(raw, f"<u{len(raw) // (COUNTERS // CHUNKS)}")
+
+
 def _add(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(COUNTERS // CHUNKS, np.uint64)
+    total = np.zeros(COUNTERS // CHUNKS, np.int64)
     for x in group["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint64)
-    return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+        total += _unpacked(x).astype(np.int64)
+    return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "counts": [_packed(total)]})
 
 
 def counted(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -98,7 +114,7 @@ def counted(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     some = parts.groupBy("chunk", level.alias("level")).applyInPandas(_add, "chunk int, counts binary")
     out = np.zeros(COUNTERS, np.uint64)
     for row in some.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect():
-        out[row["chunk"] * (COUNTERS // CHUNKS) :][: COUNTERS // CHUNKS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+        out[row["chunk"] * (COUNTERS // CHUNKS) :][: COUNTERS // CHUNKS] = _unpacked(row["counts"])
     return found.filter("chunk IS NULL").select("doc_id", "key", "n_lines"), out
 
 
@@ -107,7 +123,7 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return ((counts.astype(np.float32) + np.float32(1)).view(np.uint32) - np.uint32(0x3F800000) >> np.uint32(17)).astype(np.uint16)
 
 
-_LINE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("line", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("bitmap", pa.int64()), ("prefix", pa.list_(pa.int32()))])
+_LINE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("line", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("bitmap", pa.int64()), *((w, pa.int64()) for w in SIGNS), ("prefix", pa.list_(pa.int32()))])
 
 
 def _prefixes(rarities, threshold: float):
@@ -121,6 +137,8 @@ def _prefixes(rarities, threshold: float):
             n = np.diff(np.append(start, len(index)))
             s1, s2 = (np.add.reduceat(W.mix(token ^ W.U64(salt)), start).view(np.int64) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
             bitmap = np.bitwise_xor.reduceat(W.U64(1) << (token >> W.U64(30) & W.U64(63)), start).view(np.int64)
+            bit, which = W.U64(1) << (token & W.U64(63)), token >> W.U64(6) & W.U64(len(SIGNS) - 1)
+            signs = [pa.array(np.bitwise_xor.reduceat(np.where(which == W.U64(k), bit, W.U64(0)), start).view(np.int64)) for k in range(len(SIGNS))]
             # Rarest first; equal ranks in the order of the tokens' upper 32 bits, which stand for them in prefixes.
             rarity, word = held[(token & W.U64(COUNTERS - 1)).astype(np.int64)].astype(W.U64), token >> W.U64(12)
             if len(row) < 1 << 20:
@@ -133,7 +151,7 @@ def _prefixes(rarities, threshold: float):
             first = word[place < np.repeat(size, n)] & W.U64(0xFFFFFFFF)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first.astype(np.uint32).view(np.int32)))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(number), pa.array(s1), pa.array(s2), pa.array(n), pa.array(bitmap), prefix], schema=_LINE)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(number), pa.array(s1), pa.array(s2), pa.array(n), pa.array(bitmap), *signs, prefix], schema=_LINE)
 
     return made
 
@@ -157,7 +175,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fits(a: str, b: str, threshold: float) -> Column:
     """Length, position and bitmap filters: a pair of that similarity passes at its first common prefix token."""
     n, m = (F.shiftright(F.col(f"{x}.packed"), 32) for x in (a, b))
-    after_a, after_b = (size - F.col(f"{x}.packed").bitwiseAND(F.lit(CROWDED - 1)) for size, x in ((n, a), (m, b)))
+    after_a, after_b = (size - F.col(f"{x}.packed").bitwiseAND(F.lit((1 << 32) - 1)) for size, x in ((n, a), (m, b)))
     overlap = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     return (
         (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
@@ -166,12 +184,239 @@ def _fits(a: str, b: str, threshold: float) -> Column:
     )
 
 
-def _fits_wide(a: str, b: str, threshold: float) -> Column:
-    """The bitmap filter with the bitmaps that a crowd's lines have besides."""
-    n, m = (F.shiftright(F.col(f"{x}.packed"), 32) for x in (a, b))
-    differ = F.zip_with(f"{a}.wide", f"{b}.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-    most = n + m - 2 * F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    return F.aggregate(differ, F.lit(0).cast("long"), lambda x, y: x + y) <= most
+_WORD = {"word": np.dtype("<u4"), "id": np.dtype("<i8"), "n": np.dtype("<i4"), "place": np.dtype("<u4"), "bitmap": np.dtype("<u8"), "wide": np.dtype(("<u8", WIDE))}
+_SET = {"known": np.dtype("?"), **{x: np.dtype("<i8") for x in ("doc_id", "key", "s1", "s2", "bitmap", *SIGNS)}, **{x: np.dtype("<i4") for x in ("line", "n", "size", "prefix")}}
+
+
+def _typed(kinds: dict[str, np.dtype]) -> str:
+    return "part int, " + ", ".join(f"{name} binary" for name in kinds)
+
+
+def _block(part: np.ndarray, values: dict[str, np.ndarray | pa.ListArray], kinds: dict[str, np.dtype]) -> pa.RecordBatch:
+    """A row for each part with what it gets, the values of a column in one run of bytes."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    used, first = np.unique(part[order], return_index=True)
+    first = np.append(first, len(part))
+    columns = [pa.array(used.astype(np.int32))]
+    for name, kind in kinds.items():
+        begin, data = first, values[name]
+        if isinstance(data, pa.ListArray):
+            taken = data.take(pa.array(order))
+            begin, data = np.asarray(taken.offsets)[first].astype(np.int64) * kind.base.itemsize, np.asarray(taken.flatten())
+        else:
+            begin, data = first * kind.itemsize, data[order].astype(kind, copy=False)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data.tobytes())]))
+    return pa.RecordBatch.from_arrays(columns, names=["part", *kinds])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], block: Callable[[dict[str, pa.Array]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of lines, made of as many lines as have about ``DEALT`` words in their prefixes."""
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lines = pa.Table.from_batches(held)
+        return block({name: pa.concat_arrays(lines.column(name).chunks) for name in lines.schema.names})
+
+    held, words = [], 0
+    for batch in batches:
+        size = np.asarray(batch.column("prefix").value_lengths(), np.int64)
+        group = np.cumsum(size) // DEALT
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            held.append(batch.slice(a, b - a))
+            words += int(size[a:b].sum())
+            if words >= DEALT:
+                yield made(held)
+                held, words = [], 0
+    if held:
+        yield made(held)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, np.dtype]) -> tuple[int, dict[str, np.ndarray]]:
+    """The number of a part and all that it has got, by column."""
+    part, held = 0, {name: [np.zeros(0, kind)] for name, kind in kinds.items()}
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = batch.column("part")[0].as_py()
+        for name, kind in kinds.items():
+            column = batch.column(name).cast(pa.large_binary())
+            _, at, data = column.buffers()
+            at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+            if at[-1] > at[0]:
+                held[name].append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind.base).reshape(-1, *kind.shape))
+    return part, {name: np.concatenate(x) for name, x in held.items()}
+
+
+def _lines_dealt(rarities, threshold: float, parts: int):
+    """Deals lines to ``parts`` by their word sets."""
+    prefixes = _prefixes(rarities, threshold)
+
+    def block(lines: dict[str, pa.Array]) -> pa.RecordBatch:
+        values = {name: lines[name] if name == "prefix" else np.asarray(lines[name].fill_null(0)) for name in _LINE.names}
+        values |= {"known": np.asarray(lines["doc_id"].is_valid()), "size": np.asarray(lines["prefix"].value_lengths())}
+        return _block(values["s1"].view(W.U64) % W.U64(parts), values, _SET)
+
+    return lambda batches: _dealt(prefixes(batches), block)
+
+
+def _ragged(x: dict[str, np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x["size"], dtype=np.int64)).astype(np.int32)), pa.array(x["prefix"]))
+
+
+def _firsts_dealt(bounds):
+    """The earliest line of each word set, dealt by the ranges between ``bounds`` (known, doc_id, key)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, x = _gathered(batches, _SET)
+        order = np.lexsort([x[c] for c in ("line", "key", "doc_id", "known", "s2", "s1")])
+        s1, s2 = x["s1"][order], x["s2"][order]
+        order = order[np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))[: len(order)]]
+        if not len(order):
+            return
+        values = {c: x[c][order] for c in _SET if c != "prefix"} | {"prefix": _ragged(x).take(pa.array(order))}
+        limits, n = bounds.value, len(bounds.value["key"])
+        # A limit comes before the lines that equal it, so that lines of one text are in one range.
+        ranked = np.lexsort([np.concatenate([limits[c], values[c]]) for c in ("key", "doc_id", "known")])
+        part = np.zeros(n + len(order), np.int64)
+        part[ranked] = np.cumsum(ranked < n)
+        yield _block(part[n:], values, _SET)
+
+    return made
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a range with ids, of which one is less than another if its line is earlier."""
+    part, x = _gathered(batches, _SET)
+    order = np.lexsort([x[c] for c in ("line", "key", "doc_id", "known")])
+    prefixes = _ragged(x)
+    for a in range(0, len(order), 1 << 14):
+        at = order[a : a + (1 << 14)]
+        columns = [pa.array((part << 33) + a + np.arange(len(at)), pa.int64()), pa.array(x["doc_id"][at], mask=~x["known"][at])]
+        columns += [pa.array(x[c][at]) for c in list(_FIRST)[2:-1]]
+        yield pa.RecordBatch.from_arrays([*columns, prefixes.take(pa.array(at))], names=list(_FIRST))
+
+
+_FIRST = {"id": "long", "doc_id": "long", "key": "long", "line": "int", "n": "int", "bitmap": "long", **dict.fromkeys(SIGNS, "long"), "prefix": "array<int>"}
+
+
+def limits_of(texts: DataFrame, parts: int) -> dict[str, np.ndarray]:
+    """Where ranges of texts (doc_id, key, n_lines) in order begin that have about as many lines each, by some 64 texts for each range."""
+    texts = texts.filter("n_lines > 0")
+    one_in = max(1, texts.count() // (64 * parts))
+    some = texts.filter(F.pmod(F.xxhash64("doc_id", "key"), F.lit(one_in)) == 0).toArrow()
+    values = {"known": np.asarray(some["doc_id"].is_valid()), "doc_id": np.asarray(some["doc_id"].fill_null(0)), "key": np.asarray(some["key"])}
+    order = np.lexsort([values[c] for c in ("key", "doc_id", "known")])
+    total = np.cumsum(np.asarray(some["n_lines"])[order])
+    at = order[np.searchsorted(total, total[-1] * np.arange(1, parts) / parts)] if len(order) else order
+    return {c: x[at] for c, x in values.items()}
+
+
+def _words_dealt(parts: int):
+    """Deals the words of lines' prefixes (columns id, n, bitmap, prefix and perhaps wide) to ``parts``."""
+
+    def block(lines: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = np.asarray(lines["prefix"].value_lengths(), np.int64)
+        word = np.asarray(lines["prefix"].flatten()).view(np.uint32)
+        index = np.repeat(np.arange(len(size)), size)
+        place = (np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
+        values = {"word": word, "place": place} | {c: np.asarray(lines[c])[index] for c in ("id", "n")}
+        values["bitmap"] = np.asarray(lines["bitmap"]).view(W.U64)[index]
+        if "wide" in lines:
+            values["place"] = place | (np.asarray(lines["wide"].is_valid())[index] * CROWDED)
+            values["wide"] = lines["wide"].take(pa.array(index))
+        else:
+            values["wide"] = pa.ListArray.from_arrays(pa.array(np.zeros(len(index) + 1, np.int32)), pa.array([], pa.int64()))
+        return _block(word % np.uint32(parts), values, _WORD)
+
+    return lambda batches: _dealt(batches, block)
+
+
+_PAIR = pa.schema([("id", pa.int64()), ("other", pa.int64())])
+
+
+def _at_most(longest: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """By the sum of two sets' words: words that they share if they are similar, at least, and words in one of them only, at most."""
+    both = np.arange(2 * longest + 1)
+    overlap = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int32)
+    return overlap, (both - 2 * overlap).astype(np.int32)
+
+
+def _earliest(threshold: float):
+    """Pairs of a line and the earliest one of a word in its prefix, of what a part has got."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, x = _gathered(batches, _WORD)
+        packed = (x["word"].astype(W.U64) << W.U64(32)) | np.arange(len(x["word"]), dtype=W.U64)
+        packed.sort()
+        order, word = (packed & W.U64(0xFFFFFFFF)).astype(np.int64), packed >> W.U64(32)
+        start = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+        if not len(start):
+            return
+        ids, size = x["id"][order], np.diff(np.append(start, len(word)))
+        least = np.repeat(np.minimum.reduceat(ids, start), size)
+        own = np.flatnonzero(ids == least)
+        a, b = order, order[np.repeat(own[np.searchsorted(own, start)], size)]
+        later = ids > least
+        a, b = a[later], b[later]
+        n, m, after_a, after_b = x["n"][a], x["n"][b], x["n"][a] - x["place"][a].astype(np.int32), x["n"][b] - x["place"][b].astype(np.int32)
+        overlap, most = (x[n + m] for x in _at_most(int(x["n"].max()), threshold))
+        fits = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(after_a, after_b) >= overlap) & (np.bitwise_count(x["bitmap"][a] ^ x["bitmap"][b]) <= most)
+        yield pa.RecordBatch.from_arrays([pa.array(x["id"][a[fits]]), pa.array(x["id"][b[fits]])], schema=_PAIR)
+
+    return made
+
+
+def _all(threshold: float):
+    """Pairs of lines that share a word of their prefixes, of which the later isn't settled; a settled line has -1 - id for its id.
+
+    The longer line of a pair shares a word of its prefix with the shorter line's first
+    n - 2 * threshold / (1 + threshold) * n + 1 words. In order of word and size, the lines that one can be
+    similar to are a run, so that lines of very different sizes never meet, however common their words are;
+    settled lines meet open ones only. Two lines with wide bitmaps must pass these too.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, x = _gathered(batches, _WORD)
+        key = (x["word"].astype(W.U64) << W.U64(32)) | x["n"].astype(W.U64)
+        order = np.argsort(key, kind="stable")
+        word = x["word"][order]
+        start = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+        if not len(start):
+            return
+        size = np.diff(np.append(start, len(word)))
+        meets = (size > 1) & np.logical_or.reduceat(x["id"][order] >= 0, start)
+        order = order[np.repeat(meets, size)]
+        wide_at = np.cumsum(x["place"] >= CROWDED)[order] - 1
+        crowded, place = x["place"][order] >= CROWDED, (x["place"][order] & ~CROWDED).astype(np.int32)
+        key, signed, n, bitmap, wide = key[order], x["id"][order], x["n"][order], x["bitmap"][order], x["wide"]
+        open_, ids = signed >= 0, np.maximum(signed, -1 - signed)
+        least = (key >> W.U64(32) << W.U64(32)) | np.ceil(threshold * n - 1e-9).astype(W.U64)
+        short = place <= n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int32)
+        overlap_of, most_of = _at_most(int(n.max(initial=0)), threshold)
+        for longer, shorter in ((np.flatnonzero(open_), np.flatnonzero(short)), (np.flatnonzero(~open_), np.flatnonzero(short & open_))):
+            low = np.searchsorted(key[shorter], least[longer])
+            each = np.searchsorted(key[shorter], key[longer], "right") - low
+            longer, low, each = longer[each > 0], low[each > 0], each[each > 0]
+            total = np.cumsum(each)
+            cuts = [0, *(np.flatnonzero(np.diff(total // PAIRS)) + 1).tolist(), len(each)]
+            for u, v in zip(cuts, cuts[1:], strict=False):
+                if u == v:
+                    continue
+                a = np.repeat(longer[u:v], each[u:v])
+                b = shorter[np.arange(len(a)) + np.repeat(low[u:v] - (total[u:v] - each[u:v] - (total[u] - each[u])), each[u:v])]
+                fits = np.bitwise_count(bitmap[a] ^ bitmap[b]) <= most_of[n[a] + n[b]]
+                a, b = a[fits], b[fits]
+                most = most_of[n[a] + n[b]]
+                fits = np.minimum(n[a] - place[a], n[b] - place[b]) >= overlap_of[n[a] + n[b]]
+                fits &= np.where(ids[a] > ids[b], open_[a], open_[b]) & ((n[a] > n[b]) | (ids[a] > ids[b]))
+                both = np.flatnonzero(fits & crowded[a] & crowded[b])
+                fits[both] = np.bitwise_count(wide[wide_at[a[both]]] ^ wide[wide_at[b[both]]]).sum(axis=1, dtype=np.int32) <= most[both]
+                a, b = ids[a[fits]], ids[b[fits]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=_PAIR)
+
+    return made
 
 
 def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,65 +440,38 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     n_lines, counts = counted(texts)
     rarities = docs.sparkSession.sparkContext.broadcast(ranks(counts))
-    lines = texts.mapInArrow(_prefixes(rarities, threshold), "doc_id long, key long, line long, s1 long, s2 long, n long, bitmap long, prefix array<int>")
-    at = F.struct(F.col("doc_id"), F.col("key"), F.col("line"), F.col("n"), F.col("bitmap"), F.col("prefix"))
-    firsts = lines.groupBy("s1", "s2").agg(F.min(at).alias("x")).select("x.*")
-    # In the order of the lines, so that an id is less than another if its line is earlier.
-    firsts = cut(firsts.orderBy(F.col("doc_id").asc_nulls_first(), "key", "line")).withColumn("id", F.monotonically_increasing_id())
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PART_WORDS + 1)
+    bounds = docs.sparkSession.sparkContext.broadcast(limits_of(n_lines, parts))
+    lines = texts.mapInArrow(_lines_dealt(rarities, threshold, parts), _typed(_SET)).repartitionById(parts, F.col("part"))
+    lines = lines.mapInArrow(_firsts_dealt(bounds), _typed(_SET)).repartitionById(parts, F.col("part"))
+    # Nearly all values differ, so that dictionaries would be made for nothing.
+    firsts = written(lines.mapInArrow(_numbered, ", ".join(f"{c} {kind}" for c, kind in _FIRST.items())), **{"parquet.enable.dictionary": "false"})
 
     def exploded(lines: DataFrame, *others: str) -> DataFrame:
         """(id, packed: number of words and place, bitmap, word, ``others``) for each word of the prefixes."""
-        words = lines.select("id", F.shiftleft("n", 32).alias("n"), "bitmap", *others, F.posexplode("prefix").alias("place", "word"))
+        words = lines.select("id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "bitmap", *others, F.posexplode("prefix").alias("place", "word"))
         return words.select("id", (F.col("n") + F.col("place")).alias("packed"), "bitmap", "word", *others)
 
-    def in_parts(pairs_of: Callable[[Column], DataFrame]) -> DataFrame:
-        """The pairs of each part of the words, made one after the other."""
-        found = [cut(pairs_of(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == k)) for k in range(PARTS)]
-        return reduce(DataFrame.unionAll, found).distinct()
-
-    def size_class(n: Column) -> Column:
-        """Sets of n and of up to n / threshold words are in one class or in neighbours."""
-        return F.floor(F.log(n.cast("double")) / log(max(threshold**-2, 1.01)))
-
-    def key(size: str) -> Column:
-        return F.shiftleft(F.col("word").cast("long"), 16) + F.col(size)
-
-    def first_pairs(part: Column) -> DataFrame:
-        """Pairs of a line and the earliest one of a word in its prefix."""
-        words = exploded(firsts).filter(part)
-        # A row for each word, so that a task can hold its part of them and nothing need be sorted.
-        earliest = words.groupBy("word").agg(F.min("id").alias("id"), F.min_by("packed", "id").alias("packed"), F.min_by("bitmap", "id").alias("bitmap")).hint("shuffle_hash")
-        on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & _fits("a", "b", threshold)
-        # Without abs() the planner knows that id > other, and fails to carry that over into the union of the parts.
-        return words.alias("a").join(earliest.alias("b"), on).select(F.abs("a.id").alias("id"), F.abs("b.id").alias("other")).distinct()
-
-    def all_pairs(marked: DataFrame, part: Column, *wide: str) -> DataFrame:
-        """Pairs of lines of which the later isn't settled; a settled line has -1 - id for its id.
-
-        The longer line of a pair shares a word of its prefix with the shorter line's first
-        n - 2 * threshold / (1 + threshold) * n + 1 words. The shorter is dealt to the classes of the sizes that it
-        can be similar to, so that lines of very different sizes never meet, however common their words are.
-        Pairs of two lines with ``wide`` bitmaps are left out unless these are asked for.
-        """
-        n, place = F.col("n"), F.col("packed").bitwiseAND(F.lit(CROWDED - 1))
-        # What depends on the line alone is computed for it, not for each of its words.
-        sizes = {"size": size_class(n), "most": size_class(F.floor(n / threshold + 1e-9)), "last": n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9)}
-        sizes["crowded"] = F.when(F.col("wide").isNull(), 0).otherwise(CROWDED)
-        found = exploded(marked.withColumns(sizes), *wide, *sizes).filter(part)
-        packed = (F.col("packed") + F.col("crowded")).alias("packed")
-        longer = found.select("id", packed, "bitmap", *wide, key("size").alias("key"))
-        shorter = found.filter(place <= F.col("last")).withColumn("size", F.explode(F.sequence("size", "most")))
-        shorter = shorter.select("id", packed, "bitmap", *wide, key("size").alias("key"))
-        a, b = (F.greatest(F.col(f"{x}.id"), -1 - F.col(f"{x}.id")) for x in "ab")
-        size_a, size_b = (F.shiftright(f"{x}.packed", 32) for x in "ab")
-        on = (F.col("a.key") == F.col("b.key")) & ((size_a > size_b) | ((size_a == size_b) & (a > b))) & _fits("a", "b", threshold)
-        open_ = F.when(a > b, F.col("a.id")).otherwise(F.col("b.id")) >= 0
-        more = _fits_wide("a", "b", threshold) if wide else F.col("a.packed").bitwiseAND(F.col("b.packed")).bitwiseAND(F.lit(CROWDED)) == 0
-        return longer.alias("a").join(shorter.alias("b"), on & open_ & more).select(F.greatest(a, b).alias("id"), F.least(a, b).alias("other")).distinct()
+    def joined(lines: DataFrame, pairs_of: Callable, *others: str) -> DataFrame:
+        """The pairs that ``pairs_of`` finds among the lines of each part of the prefix words."""
+        blocks = lines.select("id", "n", "bitmap", "prefix", *others).mapInArrow(_words_dealt(parts), _typed(_WORD))
+        return blocks.repartitionById(parts, F.col("part")).mapInArrow(pairs_of(threshold), "id long, other long").distinct()
+
+    def ids_of(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select("id").unionAll(pairs.select(F.col("other").alias("id"))).distinct())
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the 256-bit bitmaps."""
+        signs = small(cut(firsts.select("id", "n", *SIGNS).join(small(ids_of(pairs)), "id", "left_semi")))
+        a, b = signs.alias("a"), signs.alias("b")
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in SIGNS])
+        n = F.col("a.n") + F.col("b.n")
+        both = pairs.alias("p").join(a, F.col("p.id") == F.col("a.id")).join(b, F.col("p.other") == F.col("b.id"))
+        return both.filter(differ <= n - 2 * F.ceil(threshold / (1 + threshold) * n - 1e-9)).select("p.id", "p.other")
 
     def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs with their similarity (id, other, alike), and id, tokens, wide of their lines."""
-        ids = cut(pairs.select("id").unionAll(pairs.select(F.col("other").alias("id"))).distinct())
+        ids = ids_of(pairs)
         asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids), "id", "left_semi"))
         asked = cut(asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked")))
         found = texts.alias("t").join(small(asked).alias("a"), F.expr("t.doc_id <=> a.doc_id AND t.key = a.key")).select("t.text", "a.asked")
@@ -282,10 +500,10 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & _fits("a", "b", threshold)
         return lines.alias("a").join(words.alias("b"), on).select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("other")).distinct()
 
-    known, sets = tested(cut(in_parts(first_pairs)))
+    known, sets = tested(cut(joined(firsts, _earliest)))
     settled = cut(similar(known))
     crowds = cut(known.groupBy("other").agg(F.count("*").alias("lines")).filter(F.col("lines") >= CROWD).select("other"))
-    facts, crowded = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")), None
+    facts, bitmaps = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")), []
     if not crowds.isEmpty():
         members = cut(known.join(small(crowds), "other", "left_semi"))
         more, others = tested(cut(hub_pairs(members, settled)))
@@ -294,14 +512,13 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         wide = sets.join(small(crowded), "id", "left_semi").unionAll(others).select("id", F.lit(None).cast("boolean").alias("settled"), "wide")
         facts = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")).unionAll(wide)
         facts = cut(facts.groupBy("id").agg(F.max("settled").alias("settled"), F.max("wide").alias("wide")))
+        bitmaps = ["wide"]
     marked = firsts.join(small(facts), "id", "left")
     marked = marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))
-    pairs = in_parts(lambda part: all_pairs(marked, part))
-    if crowded is not None:
-        pairs = pairs.unionAll(cut(all_pairs(marked.filter("wide IS NOT NULL"), F.lit(True), "wide")))
-    rest = similar(tested(cut(pairs))[0])
+    rest = similar(tested(cut(likely(cut(joined(marked, _all, *bitmaps)))))[0])
     gone = cut(settled.unionAll(rest))
-    kept = firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("kept"))
+    kept = cut(firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.col("line").cast("long"))).alias("kept")))
+    unwritten(firsts)
     rows = n_lines.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.key = k.key"), "left")
     return rows.select("t.doc_id", "t.key", "n_lines", F.coalesce("kept", F.array().cast("array<long>")).alias("kept"))
 

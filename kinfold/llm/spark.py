@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.store import cut, fresh, small
+from ..sources.store import cut, fresh, small, unwritten, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -253,6 +253,43 @@ def test_near_copies_make_few_pairs(spark, limits, monkeypatch):
     assert 1 < len(stays) < 200 and sum(made) < 20 * len(rows)
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_lines_are_dealt_in_blocks(spark):
+    """3,000 lines with 27,000 prefix words, each of them a row in three shuffles before: 90,498 rows were shuffled."""
+    rnd = random.Random(6)
+    rows = [(None if k < 20 else k // 3, " ".join(rnd.choices([f"w{j}" for j in range(4000)], k=40)), "s") for k in range(2400)]
+    for k in range(600):
+        words = rows[k * 4][1].split()
+        words[rnd.randrange(40)] = f"e{k}"
+        rows.append((900 + k, " ".join(words) + (f" more{k}" if k % 2 else ""), "s"))
+    before = shuffled_rows(spark)
+    got = lines.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "kept").collect()
+    assert len(got) == 3000 and sorted(-1 if r.doc_id is None else r.doc_id for r in got if not r.kept) == list(range(900, 1500))
+    assert shuffled_rows(spark) - before < 30_000
+
+
+def test_line_ranges(spark):
+    """Limits between ranges, nulls and equal doc_ids: an earlier line has a smaller id, and lines of one text are in one range."""
+    order = [(known, doc, key) for known, doc in ((False, 0), (True, -5), (True, 3)) for key in (-(2**40), -1, 0, 7)]
+    limits = {c: np.array([order[k][j] for k in (2, 5, 9)]) for j, c in enumerate(("known", "doc_id", "key"))}
+    n = len(order) * 2
+    values = {c: np.zeros(n, np.int64) for c in lines._SET} | {c: np.repeat([x[j] for x in order], 2) for j, c in enumerate(("known", "doc_id", "key"))}
+    values |= {"s1": np.arange(n), "line": np.tile([1, 0], len(order)), "size": np.ones(n, np.int32), "prefix": np.arange(n)}
+    block = lines._block(np.zeros(n, np.int64), values, lines._SET)
+    (dealt,) = lines._firsts_dealt(type("Held", (), {"value": limits}))(iter([block]))
+    assert dealt.column("part").to_pylist() == [0, 1, 2, 3]
+    made = [r for k in range(4) for out in lines._numbered(iter([dealt.slice(k, 1)])) for r in out.to_pylist()]
+    assert [r["id"] for r in made] == sorted({r["id"] for r in made}) and len(made) == n
+    assert [(r["doc_id"], r["key"], r["line"]) for r in made] == [(x[1] if x[0] else None, x[2], k) for x in order for k in (0, 1)]
+    assert [r["prefix"] for r in made] == [[2 * k + 1 - j] for k in range(len(order)) for j in (0, 1)]
+
+
 def test_clashing_columns(spark, rows):
     extra = {"__id": 1, "__key": 2, "__kept": 3, "__gone": 4, "__host": 5, "__of": 6, "__content": 7, "lists": 8, "host": 9, "blocked": 10, "__url": 11}
     docs = spark.createDataFrame([(r[0], r[1], r[3], r[4]) for r in rows], "doc_id long, text string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in extra.items()})

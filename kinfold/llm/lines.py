@@ -71,15 +71,20 @@ _COUNTED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", p
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with the number of lines for each text, and rows with the task's counters."""
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in W.slices(batches, "text", 8 << 20):
+    total, held, n_held = np.zeros(COUNTERS, np.int64), [], 0
+    for batch in W.slices(batches, "text", 1 << 19):
         found = W.split(batch.column("text"))
-        token = found.hash >> W.U64(20)
-        total += np.bincount((token & W.U64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+        held.append((found.hash >> W.U64(20) & W.U64(COUNTERS - 1)).view(np.int64))
+        n_held += len(held[-1])
+        if n_held >= COUNTERS:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+            held, n_held = [], 0
         begins, used, _ = _used(found)
         n = np.bincount(np.searchsorted(found.offsets, begins[used], "right") - 1, minlength=len(batch))
         none = [pa.nulls(len(batch), _COUNTED.field(k).type) for k in (3, 4)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n.astype(np.int64)), *none], schema=_COUNTED)
+    if n_held:
+        total += np.bincount(np.concatenate(held), minlength=COUNTERS)
     parts = [(k, _packed(x)) for k, x in enumerate(np.split(total, CHUNKS)) if x.any()]
     none = [pa.nulls(len(parts), pa.int64())] * 3
     yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_COUNTED)
@@ -129,7 +134,7 @@ _LINE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("line", pa.int6
 def _prefixes(rarities, threshold: float):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rarities.value
-        for batch in W.slices(batches, "text", 2 << 20):
+        for batch in W.slices(batches, "text", 1 << 19):
             index, token, row, number = _tokens(batch.column("text"))
             if not len(row):
                 continue
@@ -469,8 +474,8 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         both = pairs.alias("p").join(a, F.col("p.id") == F.col("a.id")).join(b, F.col("p.other") == F.col("b.id"))
         return both.filter(differ <= n - 2 * F.ceil(threshold / (1 + threshold) * n - 1e-9)).select("p.id", "p.other")
 
-    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs with their similarity (id, other, alike), and id, tokens, wide of their lines."""
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """id, tokens, wide of the lines of the pairs."""
         ids = ids_of(pairs)
         asked = cut(firsts.select("id", "doc_id", "key", "line").join(small(ids), "id", "left_semi"))
         asked = cut(asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line", "id")).alias("asked")))
@@ -478,10 +483,14 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         sets = cut(found.mapInArrow(_sets, "id long, tokens array<long>, wide array<long>"))
         if sets.count() > ids.count():  # repeated rows give their lines' sets once each
             sets = cut(sets.dropDuplicates(["id"]))
+        return sets
+
+    def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs with their similarity (id, other, alike)."""
         a, b = sets.select("id", F.col("tokens").alias("mine")), sets.select(F.col("id").alias("other"), F.col("tokens").alias("others"))
         both = F.size(F.array_intersect("mine", "others"))
         known = pairs.join(a, "id").join(b, "other").withColumn("both", both)
-        return cut(known.select("id", "other", (F.col("both") / (F.size("mine") + F.size("others") - F.col("both"))).alias("alike"))), sets
+        return cut(known.select("id", "other", (F.col("both") / (F.size("mine") + F.size("others") - F.col("both"))).alias("alike")))
 
     def similar(known: DataFrame) -> DataFrame:
         """Lines of which a pair's similarity is high enough."""
@@ -500,14 +509,17 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         on = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & _fits("a", "b", threshold)
         return lines.alias("a").join(words.alias("b"), on).select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("other")).distinct()
 
-    known, sets = tested(cut(joined(firsts, _earliest)))
+    pairs = cut(joined(firsts, _earliest))
+    sets = sets_of(pairs)
+    known = tested(pairs, sets)
     settled = cut(similar(known))
     crowds = cut(known.groupBy("other").agg(F.count("*").alias("lines")).filter(F.col("lines") >= CROWD).select("other"))
     facts, bitmaps = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")), []
     if not crowds.isEmpty():
         members = cut(known.join(small(crowds), "other", "left_semi"))
-        more, others = tested(cut(hub_pairs(members, settled)))
-        settled = cut(settled.unionAll(similar(more)).distinct())
+        pairs = cut(hub_pairs(members, settled))
+        others = sets_of(pairs)
+        settled = cut(settled.unionAll(similar(tested(pairs, others))).distinct())
         crowded = cut(members.select("id").unionAll(crowds.select(F.col("other").alias("id"))).distinct())
         wide = sets.join(small(crowded), "id", "left_semi").unionAll(others).select("id", F.lit(None).cast("boolean").alias("settled"), "wide")
         facts = settled.select("id", F.lit(True).alias("settled"), F.lit(None).cast("array<long>").alias("wide")).unionAll(wide)
@@ -515,7 +527,8 @@ def judge(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         bitmaps = ["wide"]
     marked = firsts.join(small(facts), "id", "left")
     marked = marked.withColumn("id", F.when(F.col("settled").isNull(), F.col("id")).otherwise(-1 - F.col("id")))
-    rest = similar(tested(cut(likely(cut(joined(marked, _all, *bitmaps)))))[0])
+    pairs = cut(likely(cut(joined(marked, _all, *bitmaps))))
+    rest = similar(tested(pairs, sets_of(pairs)))
     gone = cut(settled.unionAll(rest))
     kept = cut(firsts.join(small(gone), "id", "left_anti").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.col("line").cast("long"))).alias("kept")))
     unwritten(firsts)

@@ -27,11 +27,13 @@ _LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits depend on all input bits."""
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(29))
-    x = x * U64(0xA24BAED4963EE407)
-    return x ^ (x >> U64(32))
+    high = x >> U64(32)
+    x = x ^ high
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= np.right_shift(x, U64(29), out=high)
+    x *= U64(0xA24BAED4963EE407)
+    x ^= np.right_shift(x, U64(32), out=high)
+    return x
 
 
 @dataclass
@@ -74,11 +76,14 @@ def split(texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray | None =
     n = int(offsets[-1])
     if fold is not None:
         data[:n] = fold[data[:n]]
-    inside = np.concatenate([[False], ~space[data[:n]], [False]])
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    begins = inside[1:] & (~inside[:-1] | edge)
-    ends = inside[:-1] & (~inside[1:] | edge)
+    # Bytes are mapped as bytes, as an array's indexes would be made eight times as long first.
+    inside = np.frombuffer(b"\0" + data[:n].tobytes().translate((~space).tobytes()) + b"\0", bool)
+    change = inside[1:] != inside[:-1]
+    begins = change & inside[1:]
+    ends = change & inside[:-1]
+    # Words that meet where a text ends and the next one begins are two.
+    meet = offsets[inside[offsets] & inside[offsets + 1]]
+    begins[meet] = ends[meet] = True
     start = np.flatnonzero(begins)
     length = np.flatnonzero(ends) - start
     return Words(data, offsets, start, length, _hash(data, start, length))

@@ -7,7 +7,9 @@ sides' keys, and their scores. Channels read the stored keys that they join on,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import similarity as S, text as T
@@ -419,13 +421,19 @@ def _ranker(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stacked(s: SparkSession, d: str) -> DataFrame:
+    """Two models' scores by folds, and a model of them. All read narrow stored rows: a pair's features as one array, its fold."""
     rows = labelled(s, d)
     names = feature_names(rows)
+    rows = store.written(rows.select("entity_id", "target_id", "label", M.fold(FOLDS).alias("fold"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
     n = rows.count()
-    one = M.out_of_fold(M.logistic(names, n), rows, FOLDS, "p_lr").select("entity_id", "target_id", "label", "p_lr")
-    two = M.out_of_fold(M.boosted(names, TREES), rows, FOLDS, "p_gbt").select("entity_id", "target_id", "p_gbt")
-    both = store.cut(one.join(two, ["entity_id", "target_id"]))
-    return M.score(M.logistic(["p_lr", "p_gbt"], n).fit(both), both).select("entity_id", "target_id", "label", "p")
+    lines = M.logistic_without(rows, list(range(FOLDS)), n)
+    vectors = rows.withColumn("v", array_to_vector("x"))
+    trees = M.side_by_side(M.boosted(["v"], TREES), [vectors.filter(F.col("fold") != k) for k in range(FOLDS)])
+    scored = [M.score(m, vectors.filter(F.col("fold") == k), "p_gbt") for k, m in enumerate(trees)]
+    two = F.array(M.logistic_score(lines, F.col("fold")), F.col("p_gbt"))
+    both = store.written(reduce(DataFrame.unionByName, scored).select("entity_id", "target_id", "label", F.lit(-1).alias("fold"), two.alias("x")))
+    last = M.logistic_without(both, [0], n)
+    return both.select("entity_id", "target_id", "label", M.logistic_score(last, F.lit(0)).alias("p"))
 
 
 def _importances(s: SparkSession, d: str) -> DataFrame:

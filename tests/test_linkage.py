@@ -233,3 +233,46 @@ def test_ranked_pairs_both_ways(spark):
     rows = spark.createDataFrame([("q", 1, 5.0), ("q", 0, 2.0), ("q", 0, 4.0), ("r", 1, 1.0), ("s", 0, 9.0)], "entity_id string, label int, x double")
     both = M.both_ways(M.ranked_pairs(rows, ["x"]), ["x"])
     assert sorted((r.x, r.label) for r in both.collect()) == [(-3.0, 0), (-1.0, 0), (1.0, 1), (3.0, 1)]
+
+
+def _folded(spark):
+    """Rows of two columns and a constant one, with labels that neither tells for sure, in folds."""
+    rows = [(k % 3, int((k * 7919 % 101) + 20 * (k % 5) > 90), [k * 7919 % 101 / 10, float(k % 5), 0.3]) for k in range(400)]
+    return spark.createDataFrame(rows, "fold int, label int, x array<double>")
+
+
+def test_logistic_of_all_folds_in_few_passes(spark, monkeypatch):
+    """The optimum of the library's loss, for all folds in the same passes: the library makes a pass for each fold and step."""
+    rows, passes, passed = _folded(spark).cache(), [], M._passed
+    monkeypatch.setattr(M, "_passed", lambda *a: passes.append(1) or passed(*a))
+    fits = M.logistic_without(rows, [0, 1, 2, -1], 400)
+    assert len(passes) <= 20
+    wide = rows.select("fold", "label", "x", *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3)])
+    for at, k in enumerate([0, 1, 2, -1]):
+        model = M.logistic(["x0", "x1", "x2"], 400).fit(wide.filter(F.col("fold") != k))
+        both = M.score(model, wide).withColumn("q", M.logistic_score(fits, F.lit(at))).agg(F.max(F.abs(F.col("p") - F.col("q"))), F.count("q")).first()
+        assert both[0] < 1e-3 and both[1] == 400
+
+
+def test_logistic_of_one_kind_and_separable_labels(spark):
+    import pytest
+
+    rows = _folded(spark)
+    p = lambda df, at=0: [r.p for r in df.select(M.logistic_score(M.logistic_without(df, [-1], 400), F.lit(at)).alias("p")).collect()]
+    assert set(p(rows.withColumn("label", F.lit(0)))) == {0.0} and set(p(rows.withColumn("label", F.lit(1)))) == {1.0}
+    apart = rows.withColumn("label", (F.get("x", F.lit(0)) > 5).cast("int"))
+    assert all((x > 0.5) == (r.x[0] > 5) for x, r in zip(p(apart), apart.collect(), strict=True))
+    for bad in (rows.withColumn("x", F.array(F.lit(None).cast("double"))), rows.limit(0)):
+        with pytest.raises(ValueError):
+            M.logistic_without(bad, [-1], 400)
+
+
+def test_stacked_scores_whole(spark, monkeypatch):
+    """Every candidate once, with its label; five linear models take the passes of one."""
+    passes, passed = [], M._passed
+    monkeypatch.setattr(M, "_passed", lambda *a: passes.append(1) or passed(*a))
+    d = "/root/testdata/sf0.001"
+    got = Q.queries()["stacked_scores"](spark, d)
+    assert got.columns == ["entity_id", "target_id", "label", "p"] and 0 < len(passes) <= 120
+    assert sorted((r.entity_id, r.target_id, r.label) for r in got.collect()) == sorted((r.entity_id, r.target_id, r.label) for r in Q.labelled(spark, d).collect())
+    assert got.filter("p IS NULL OR isnan(p) OR p < 0 OR p > 1").count() == 0

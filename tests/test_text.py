@@ -88,3 +88,24 @@ def test_phonetic_keys():
 
     assert [phonetic.metaphone_one(x) for x in ("Phone", "Which", "Thompson", "Edge", "")] == ["FN", "WX", "0MPSN", "EJ", ""]
     assert [phonetic.nysiis_one(x) for x in ("knight", "Worthy", "Ogata", "montgomery", "")] == ["NAGT", "WARTY", "OGAT", "MANTGANARY", ""]
+
+
+def test_partial_ratio_measures_few_windows(monkeypatch):
+    """The best of all windows, as measured one by one, though most are never measured alone."""
+    import random
+
+    dice, calls, lcs = random.Random(3), [], S._lcs
+
+    def windows(a, b):
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        return max(2 * lcs(short, w) / (n + len(w)) for w in (long[max(0, k) : k + n] for k in range(1 - n, len(long)))) if n else float(not long)
+
+    monkeypatch.setattr(S, "_lcs", lambda a, b: calls.append(1) or lcs(a, b))
+    for letters in ("ab", "abc ", "abcdefgh äé🙂"):
+        for k in range(300):
+            a, b = ("".join(dice.choice(letters) for _ in range(dice.randint(0, k % 30))) for _ in "ab")
+            assert S.partial_ratio_one(a, b) == windows(a, b)
+    calls.clear()
+    S.partial_ratio_one("orchid ieschlicheräauein inc", "orchid denenheitlichlich pvt ltd")
+    assert len(calls) <= 4
